@@ -35,6 +35,13 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.select(F.col(f"`{id_col}`").alias("i")).schema["i"].dataType.simpleString()
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; installed on driver and executors alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 # ------------------------------------------------------------------ shared storage
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, shards
-from .common import documents, remainder
+from . import exact, langid, media, packing, secrets, shards
+from .common import documents, remainder, vocabulary_path
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,42 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (remainder(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(documents(spark, sf_dir), "doc_id", "text")
+    counts = [secrets.count(F.col("found"), k).alias(f"n_{k}") for k in secrets.BASE]
+    base = secrets.spans(F.col("found"), secrets.BASE)
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spans(F.col("found")).alias("spans"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_MATCHES = "\n  UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS rank, '{secrets.ROLES[k]}' AS part, regexp_extract_all(t, {_quoted(p)}, 0) AS ms, string_split_regex(t, {_quoted(p)}) AS gs FROM docs" for i, (k, p) in enumerate(secrets.KINDS.items()))
+
+OP2_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_MATCHES}),
+parts AS (SELECT doc_id, kind, rank, part, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM found WHERE len(ms) > 0),
+placed AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM parts),
+fit AS (SELECT doc_id, kind, rank, part, e - length(m) AS s, e FROM placed WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 2)) >= 6
+    WHEN 'ident' THEN length(regexp_extract(m, {_quoted(secrets.IDENT)}, 2)) >= 3
+    WHEN 'token' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')
+    ELSE true END),
+near AS (SELECT p.doc_id, p.kind, p.s, p.e, list_distinct(list(q.part)) AS parts FROM fit p JOIN fit q ON p.doc_id = q.doc_id
+    AND ((q.e <= p.s AND p.s - q.e <= {secrets.SCOPE}) OR (q.s >= p.e AND q.s - p.e <= {secrets.SCOPE})) GROUP BY ALL),
+kept AS (SELECT f.*, f.kind || ':' || f.s || ':' || f.e AS span FROM fit f LEFT JOIN near n USING (doc_id, kind, s, e) WHERE CASE f.kind
+    WHEN 'ident' THEN list_contains(n.parts, 's')
+    WHEN 'token' THEN list_contains(n.parts, 'i') OR list_contains(n.parts, 'e')
+    WHEN 'endpoint' THEN list_contains(n.parts, 'i') AND list_contains(n.parts, 's')
+    ELSE true END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, rank), '') AS spans
+FROM docs d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact.exact_dedup(documents(spark, sf_dir), "doc_id", "text")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -29,10 +65,20 @@ FROM d JOIN g USING (h)
 """
 
 
+def op6_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.media_rows(documents(spark, sf_dir), "doc_id", "text")
+    feature = F.array_join(F.transform("fingerprint", lambda x: F.lower(F.hex(x))), ",")
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(documents(spark, sf_dir), "doc_id", "text", 24).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_exact_dedup": op3_exact_dedup, "op7_jump_sharding": op7_jump_sharding}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", vocabulary_path()).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op10_best_fit_packing": op10_best_fit_packing}
 
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL}
