@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, media, packing, secrets, shards
+from . import exact, langid, media, ngram_join, packing, secrets, shards
 from .common import documents, remainder, vocabulary_path
 
 
@@ -75,10 +75,15 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(documents(spark, sf_dir), "doc_id", "text", 24).withColumnRenamed("id", "doc_id")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.near_duplicates(documents(spark, sf_dir), "doc_id", "text", ngram_join.Rule(words=3, num=90, den=100))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_best_fit_packing": op10_best_fit_packing}
 
 ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL}
