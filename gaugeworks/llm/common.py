@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one numpy pass works on; longer texts are cut at white space.
 BLOCK_BYTES = 1 << 21
+#: Most words whose ids a worker keeps.
+CACHE_WORDS = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +182,7 @@ _INVERSE = U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
         size = max(n + 1, BLOCK_BYTES + 1)
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -241,8 +243,46 @@ def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n)
+    up, down = power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODES[_LOWER[raw]] * up, out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return h, np.diff(np.searchsorted(starts, bounds))
+
+
+class IdCache:
+    """Ids of words by 64-bit key, kept in flat arrays; forgets all beyond ``CACHE_WORDS`` words."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slots = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def missing(self, distinct: np.ndarray) -> np.ndarray:
+        """Positions of the keys that aren't known; all are, if these wouldn't fit any more."""
+        if len(self.keys) + len(distinct) > CACHE_WORDS:
+            self.forget()
+        if len(self.keys) == 0:
+            return np.arange(len(distinct))
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != distinct)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New keys with their ids one after the other."""
+        slots = np.arange(len(keys)) + len(self.starts) - 1
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slots = np.insert(self.keys, where, keys[order]), np.insert(self.slots, where, slots[order])
+
+    def gather(self, distinct: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, running number of ids before each word)."""
+        slot = self.slots[np.searchsorted(self.keys, distinct)][inverse]
+        sizes = self.starts[slot + 1] - self.starts[slot]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.starts[slot] - total[:-1], sizes) + np.arange(total[-1])], total

@@ -2,7 +2,7 @@
 
 Tokenising: texts are split at the tokenizer's own word pattern by numpy (classes of
 code points, a block of texts at once); each distinct word is encoded once in a worker
-by the tokenizer, which keeps at most ``CACHE_WORDS`` of them; ids are gathered from
+by the tokenizer, which keeps a bounded number of them; ids are gathered from
 there. Texts with code points outside the table go through the tokenizer whole.
 
 Packing: pieces of full length are sequences. The rest is dealt into partitions of
@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, id_type, materialize, mix, text_buffers
+from .common import BLOCK_BYTES, IdCache, blocks, id_type, materialize, mix, power_tables, text_buffers
 
 END = 0
 PART_ITEMS = 1 << 16
 MAX_ROUNDS = 8
-CACHE_WORDS = 1 << 20
 
 # ------------------------------------------------------------------ tokenising
 
@@ -103,13 +102,7 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id
         for token, k in vocabulary.items():
             self.widths[k] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.cache = IdCache()
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each).
@@ -134,14 +127,6 @@ class Encoder:
                 parts[i] = x
         return np.concatenate(parts), sizes
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, sizes = self._ids(words)
-        slots = np.arange(len(keys)) + len(self.starts) - 1
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, where, keys), np.insert(self.slots, where, slots)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -155,21 +140,15 @@ class Encoder:
         starts = word_starts(points, bounds)
         ends = np.append(starts[1:], len(points))
         sums = np.zeros(len(points) + 1, np.uint64)
-        up, down = _powers(len(points))
+        up, down = power_tables(len(points))
         np.cumsum(_codes()[np.minimum(points, 0x10000)] * up, out=sums[1:])
         keys = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHE_WORDS:
-            self.forget()
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
+        new = self.cache.missing(distinct)
         if len(new):
             whole = points.tobytes()
-            self._learn(distinct[new], [whole[4 * starts[k] : 4 * ends[k]].decode("utf-32-le") for k in first[new]])
-        slot = self.slots[np.searchsorted(self.keys, distinct)][inverse]
-        sizes = self.starts[slot + 1] - self.starts[slot]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[slot] - total[:-1], sizes) + np.arange(total[-1])]
+            self.cache.add(distinct[new], *self._ids([whole[4 * starts[k] : 4 * ends[k]].decode("utf-32-le") for k in first[new]]))
+        ids, total = self.cache.gather(distinct, inverse)
         cut = total[np.searchsorted(starts, bounds)]
         return [ids[cut[i] : cut[i + 1]] if x is None else x for i, x in enumerate(out)]
 
@@ -179,12 +158,6 @@ def _codes() -> np.ndarray:
     return mix(np.arange(1, 0x10002, dtype=np.uint64))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    from .common import _power_tables
-
-    return _power_tables(n)
-
-
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

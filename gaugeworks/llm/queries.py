@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, lm, media, ngram_join, packing, secrets, shards
+from . import exact, langid, lm, media, ngram_join, packing, pieces, secrets, shards
 from .common import documents, remainder, vocabulary_path
 
 
@@ -85,10 +85,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.round_trip(documents(spark, sf_dir), "doc_id", "text", vocabulary_path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_sentencepiece": op9_sentencepiece, "op10_best_fit_packing": op10_best_fit_packing}
 
 ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL}
