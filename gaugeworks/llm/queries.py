@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, lm, media, ngram_join, packing, pieces, secrets, shards
+from . import exact, langid, lines, lm, media, ngram_join, packing, pieces, secrets, shards
 from .common import documents, remainder, vocabulary_path
 
 
@@ -65,6 +65,12 @@ FROM d JOIN g USING (h)
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(documents(spark, sf_dir), "doc_id", "text", num=80, den=100)
+    removed = F.array_join(F.transform("removed", lambda x: x.cast("string")), ",")
+    return rows.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), removed.alias("removed_lines"))
+
+
 def op5_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lm.score_documents(documents(spark, sf_dir), "doc_id", "text", remainder(F.col("doc_id"), 7) == 2)
     return rows.withColumnRenamed("id", "doc_id")
@@ -94,6 +100,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_sentencepiece": op9_sentencepiece, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op4_line_dedup": op4_line_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_sentencepiece": op9_sentencepiece, "op10_best_fit_packing": op10_best_fit_packing}
 
 ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL}
