@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, id_type, join_groups, materialize, mix, text_buffers, word_hashes
+from .common import blocks, drop_rows, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
 
 BITMAP_WORDS = 8
 #: Ratio of a band's largest to its smallest size, as a power of the threshold.
@@ -453,3 +453,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     placed = join_groups(filled.select("id", "n", "key"), whole, "key", "rows", filled.count())
     empty = found.where(F.col("key").isNull()).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return placed.select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def keep_rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """The rows of ``df`` that stay, all their columns: of each component the one with the smallest id.
+
+    Of repeated rows with that id one stays; rows without words all stay.
+    """
+    found = materialize(near_duplicates(df, id_col, text_col, rule), "components")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id")))
+    kept = drop_rows(df, gone, [(id_col, "id")])
+    repeated = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
+    if repeated.isEmpty():
+        return kept
+    return drop_rows(kept, repeated, [(id_col, "id")]).unionByName(keep_matching(kept, repeated, [(id_col, "id")]).dropDuplicates([id_col]))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unfold
+from .common import BROADCAST_ROWS, unfold
 
 SCOPE = 200
 
@@ -150,20 +150,17 @@ def redact(df: DataFrame, id_col: str, text_col: str, found: DataFrame, mask: st
     """
     names = df.columns
     hits = found.where(F.size("found") > 0).dropDuplicates(["id", "digest"]).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("found").alias("_found"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.withColumn("_hash", F.unhex(F.md5(text.cast("binary"))))
+    body = F.col(f"`{text_col}`").cast("string")
+    rows = df.withColumn("_hash", F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))))
+    if (hits.agg(F.sum(F.size("_found") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
     rows = rows.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_digest")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    body = F.col(f"`{text_col}`").cast("string")
 
     def step(acc, x):
         gap = F.substring(body, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        seen = x["end"] <= acc["at"]
-        touching = x["start"] < acc["at"]
-        return F.struct(
-            F.when(seen | touching, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"),
-            F.greatest(acc["at"], x["end"]).alias("at"),
-        )
+        inside = x["start"] < acc["at"]
+        return F.struct(F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
     masked = F.aggregate(F.col("_found"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
     changed = F.when(F.col("_found").isNull(), body).otherwise(masked)
