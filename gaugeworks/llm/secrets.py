@@ -44,7 +44,7 @@ BASE = ("assign", "access", "hex")
 # Weak candidates of the linking step.
 IDENT = f"({_word('username')}|{_word('user')}|{_word('login')}|{_word('account')}|{_word('client')}_?{_word('id')}|{_word('key')}_?{_word('id')})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9_.@+-]+)"
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
-ENDPOINT = "[a-z][a-z0-9+.-]*://[^\\x20\\x09-\\x0D\"'<>]+|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(:[0-9]+)?"
+ENDPOINT = "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\x09-\\x0D\"'<>]+|[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(:[0-9]+)?"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "token": TOKEN, "endpoint": ENDPOINT}
 ORDER = {k: i for i, k in enumerate(KINDS)}
 #: The part each kind can play: identifier, secret or endpoint.
