@@ -14,7 +14,7 @@ How many segments get two units is allocated by cost from the counts of the band
 rows against expected accidental matches. Empty segments, which match anything, are
 left out by sets that have no more of them than the spare units.
 
-*Verification* is exact on whole sets. Before it, a parity bitmap of 512 bits (their
+*Verification* is exact on whole sets. Before it, a parity bitmap of two to four bits a shingle (their
 Hamming distance is a lower bound of the symmetric difference) drops most pairs that
 don't link. Only what decides components is verified: first each class against its
 nearest fellow among the smallest ids of its index entries; then, of each two
@@ -35,21 +35,21 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_rows, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
+from .common import HEAVY_PARTS, blocks, drop_rows, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
 
-BITMAP_WORDS = 8
 #: Ratio of a band's largest to its smallest size, as a power of the threshold.
 BAND_POWER = 5
 #: Share of shingles that unrelated texts are taken to have in common, and the cost of
 #: one accidental match in index rows: both only steer the allocation.
 COMMON_SHARE, MATCH_COST = 0.02, 0.25
+#: Words of the brief bitmap, which goes with every index entry that is compared.
+BRIEF = 8
 #: Most members of an entry that one task compares at once; more are dealt in blocks.
 BLOCK_MEMBERS = 2048
 FILTER_BITS = 1 << 24
@@ -97,10 +97,16 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the set in each of 512 cells, as 8 signed words."""
-    cell = (mix(s + np.uint64(77)) >> np.uint64(55)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=512) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+    """Parity of the set in each of at least 512, about 2n to 4n cells, as 64-bit words."""
+    cells = max(512, 1 << (2 * len(s) - 1).bit_length())
+    cell = (mix(s + np.uint64(77)) & np.uint64(cells - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=cells) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap (last axis) over fewer cells."""
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
 # ------------------------------------------------------------------ schemes
@@ -209,55 +215,73 @@ def _each_block(batch, column: int, words: int):
 
 
 def classes_of(rows: DataFrame, words: int, kind: str) -> DataFrame:
-    """(id, n, key, bits) of each row; key is null for an empty set."""
+    """(id, n, key, bits, brief) of each row; key is null for an empty set, brief has 8 words."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, sets in _each_block(batch, 1, words):
+                maps = [bitmap(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    names=["id", "n", "key", "bits"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x if x is None else x.view(np.int64) for x in maps], pa.list_(pa.int64())), pa.array([x if x is None else fold(x, BRIEF).view(np.int64) for x in maps], pa.list_(pa.int64()))],
+                    names=["id", "n", "key", "bits", "brief"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, n long, key long, bits array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, key long, bits array<long>, brief array<long>")
 
 
-def entries_of(rows: DataFrame, words: int, schemes: list[Scheme]) -> DataFrame:
-    """(key, entries) of each row whose set some scheme takes."""
+def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: DataFrame, total: int) -> DataFrame:
+    """(key, entries) of one row of each class that some scheme takes.
+
+    Rows that don't stand for their class are passed over: of classes with more than
+    1/1024 of all rows exactly (there are fewer than 1024 such), of others by a filter
+    of fixed size; what it lets through only repeats entries.
+    """
     least = min((s.lo for s in schemes), default=0)
+    heavy = {r["key"]: r["id"] for r in classes.where(F.col("rows") > max(1, total // HEAVY_PARTS)).select("key", "id").collect()}
+    shared = rows.sparkSession.sparkContext.broadcast((_filter_bits(classes.select("id")), heavy))
 
     def run(batches):
         index = Index(schemes)
         for batch in batches:
-            for _, _, sets in _each_block(batch, 1, words):
-                own = [s for s in sets if len(s) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.int64()), pa.array([index.entries(s) for s in own], pa.list_(pa.int64()))], names=["key", "entries"])
+            bits, large = shared.value
+            batch = _passed(batch, bits)
+            ids = batch.column(0).to_pylist() if large else None
+            for lo, _, sets in _each_block(batch, 1, words):
+                keys = [set_key(s) if len(s) >= least else None for s in sets]
+                own = [i for i, k in enumerate(keys) if k is not None and (k not in large or ids[lo + i] == large[k])]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.int64()), pa.array([index.entries(sets[i]) for i in own], pa.list_(pa.int64()))], names=["key", "entries"])
 
-    return rows.mapInArrow(run, "key long, entries array<long>")
+    return rows.withColumn("p", _place()).mapInArrow(run, "key long, entries array<long>")
 
 
-def sets_of(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """(key, items) for at least the rows whose id is in ``wanted``.
+def _place():
+    return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long"))
 
-    A filter of fixed size (2 MB) tells which rows to read; wrong hits are harmless.
-    """
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long"))
-    marks = wanted.select(place.alias("p")).selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("v")).toPandas()
+
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2 MB) over the ids of ``wanted``."""
+    marks = wanted.select(_place().alias("p")).selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("v")).toPandas()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[marks["w"].to_numpy(np.int64)] = marks["v"].to_numpy(np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    return table.view(np.uint64)
+
+
+def _passed(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    p = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.take(pa.array(np.flatnonzero((bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1))))
+
+
+def sets_of(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(key, items) for at least the rows whose id is in ``wanted``; wrong hits are harmless."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            p = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.take(pa.array(np.flatnonzero(hit)))
-            for _, _, sets in _each_block(batch, 1, words):
+            for _, _, sets in _each_block(_passed(batch, shared.value), 1, words):
                 own = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["key", "items"])
 
-    return rows.withColumn("p", place).mapInArrow(run, "key long, items binary").dropDuplicates(["key"])
+    return rows.withColumn("p", _place()).mapInArrow(run, "key long, items binary")
 
 
 # ------------------------------------------------------------------ pairs
@@ -267,12 +291,22 @@ def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (x, y) that size and bitmap allow, with their Hamming distance."""
     one = classes.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     two = classes.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    joined = pairs.join(one, "x").join(two, "y")
-    small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
-    joined = joined.where(F.lit(rule.den) * small >= F.lit(rule.num) * large)
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(BITMAP_WORDS)])
-    allowed = F.expr(f"(nx + ny) * {rule.den - rule.num} div {rule.den + rule.num}")
-    return joined.withColumn("apart", apart).where(F.col("apart") <= allowed).select("x", "y", "apart")
+    joined = pairs.join(classes.select(F.col("key").alias("x"), F.col("n").alias("mx")), "x").join(classes.select(F.col("key").alias("y"), F.col("n").alias("my")), "y")
+    joined = joined.where(F.lit(rule.den) * F.least("mx", "my") >= F.lit(rule.num) * F.greatest("mx", "my")).select("x", "y")
+    joined = joined.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "bx", "by")
+
+    def run(batches):
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, np.int32)
+            for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                a, b = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
+                words = min(len(a), len(b))
+                apart[i] = np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = pa.array(np.flatnonzero(apart <= total * (rule.den - rule.num) // (rule.den + rule.num)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(apart).take(near)], names=["x", "y", "apart"])
+
+    return joined.mapInArrow(run, "x long, y long, apart int")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -338,10 +372,10 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, ru
     else:
         rows = rows.withColumn("label", F.col("key"))
     mixed = rows.groupBy("entry").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("f")).where("a <> b").select("entry", "f")
-    rows = rows.join(mixed, "entry").join(classes.select("key", "n", "bits"), "key")
+    rows = rows.join(mixed, "entry").join(classes.select("key", "n", "brief"), "key")
     parts = F.ceil(F.col("f") / F.lit(BLOCK_MEMBERS))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
-    rows = rows.select("entry", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key", "label", "n", "bits")
+    rows = rows.select("entry", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key", "label", "n", "brief")
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entry", "p", "q").sortWithinPartitions("entry", "p", "q")
 
     def run(batches):
@@ -356,8 +390,7 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, ru
         if rest is not None and rest.num_rows:
             yield from _groups(rest, rule, last=True)[1]
 
-    found = rows.mapInArrow(run, "x long, y long, apart int")
-    return found.groupBy("x", "y").agg(F.min("apart").alias("apart"))
+    return _near(rows.mapInArrow(run, "x long, y long").distinct(), classes, rule)
 
 
 def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
@@ -366,7 +399,7 @@ def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
     edges = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
     stop = len(edges) - 1 if last else len(edges) - 2
     own, key, label, n = (batch.column(i).to_numpy() for i in range(3, 7))
-    bits = batch.column(7).flatten().to_numpy().reshape(-1, BITMAP_WORDS).view(np.uint64)
+    bits = batch.column(7).flatten().to_numpy().reshape(-1, BRIEF).view(np.uint64)
     out = []
     for a, b in zip(edges[:stop].tolist(), edges[1 : stop + 1].tolist(), strict=True):
         if b - a < 2:
@@ -384,16 +417,16 @@ def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
             near = apart <= (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)
             j = j[near]
             if len(j):
-                out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i]), apart[near]))
+                out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i])))
     rest = batch.slice(int(edges[stop])) if not last else None
     done = []
     if out:
-        x, y, apart = (np.concatenate(c) for c in zip(*out, strict=True))
-        done.append(pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(apart.astype(np.int32))], names=["x", "y", "apart"]))
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+        done.append(pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
     return rest, done
 
 
-def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
+def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int) -> DataFrame | None:
     """(node, label) of all classes that link with another, or None if none does."""
     sizes = classes.groupBy("n").agg(F.count("*").alias("c")).toPandas()  # as many rows as there are sizes
     schemes = []
@@ -403,11 +436,11 @@ def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame |
             schemes.append(allocate(k, lo, hi, allowance, int(own["c"].sum()), float((own["n"] * own["c"]).sum() / own["c"].sum())))
     if not schemes:
         return None
-    index = entries_of(rows, rule.words, schemes).groupBy("key").agg(F.first("entries").alias("entries"))
+    index = entries_of(rows, rule.words, schemes, classes, total)
     entry = Window.partitionBy("entry")
-    members = index.select("key", F.explode(F.array_distinct("entries")).alias("entry"))
-    members = members.withColumn("f", F.count("*").over(entry)).withColumn("first", F.min("key").over(entry))
-    members = materialize(members.where("f > 1").select("entry", "key", "first"), "members")
+    members = index.select("key", F.explode("entries").alias("entry"))
+    members = members.withColumn("last", F.max("key").over(entry)).withColumn("first", F.min("key").over(entry))
+    members = materialize(members.where("first <> last").select("entry", "key", "first"), "members")
     # each class against the nearest of the smallest ids of its entries
     stars = members.where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y")).distinct()
     tried = _near(stars, classes, rule).groupBy("y").agg(F.min_by("x", F.struct("apart", "x")).alias("x")).select("x", "y")
@@ -441,8 +474,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
     rows = _texts(df, id_col, text_col)
     found = materialize(classes_of(rows, rule.words, id_type(df, id_col)), "classes")
     filled = found.where(F.col("key").isNotNull())
-    classes = materialize(filled.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows")), "keys")
-    labels = link_classes(rows, classes, rule)
+    classes = materialize(filled.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("brief").alias("brief"), F.count("*").alias("rows")), "keys")
+    total = filled.count()
+    labels = link_classes(rows, classes, rule, total)
     if labels is None:
         whole = classes.select("key", "rows", F.col("id").alias("component_id"))
     else:
@@ -450,7 +484,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
         least = materialize(named.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("parts")), "least")
         whole = join_groups(named, least, "label", "parts", named.count()).select("key", "rows", "component_id")
     whole = materialize(whole, "components")
-    placed = join_groups(filled.select("id", "n", "key"), whole, "key", "rows", filled.count())
+    placed = join_groups(filled.select("id", "n", "key"), whole, "key", "rows", total)
     empty = found.where(F.col("key").isNull()).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return placed.select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
