@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass works on; longer texts are cut at white space.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Most words whose ids a worker keeps.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

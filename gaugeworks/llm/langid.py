@@ -29,7 +29,7 @@ UNKNOWN = "und"
 #: Fixed-point scale of log probabilities.
 SCALE = 1 << 20
 #: Code points worked on at once.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 ORDERS = 3
 
 
