@@ -36,7 +36,7 @@ def merge_reports(df: DataFrame) -> DataFrame:
     lines = df.select("path", F.posexplode("hits").alias("pos", "hit"))
     merged = lines.groupBy("path", "pos").agg(F.min("hit").alias("low"), F.sum("hit").alias("sum"))
     value = F.when(F.col("low") < 0, F.col("low")).otherwise(F.col("sum"))
-    cut = shortest.join(merged, "path", "left").where("pos IS NULL OR pos < n")
+    cut = shortest.join(merged.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("pos") < F.col("n")), "left")
     rows = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v"))))).alias("rows"))
     return rows.select("path", F.transform("rows", lambda r: r["v"]).alias("hits"))
 
