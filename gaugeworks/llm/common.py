@@ -33,6 +33,14 @@ def remainder(id_col, divisor: int):
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_type(df: DataFrame, id_col: str) -> str:
     return df.select(F.col(f"`{id_col}`").alias("i")).schema["i"].dataType.simpleString()
 
@@ -111,12 +119,13 @@ BROADCAST_ROWS = 1 << 18
 
 
 def _matched(rows: DataFrame, keys: DataFrame, match: list[tuple[str, str]], how: str) -> DataFrame:
-    keys = keys.select(*[F.col(k).alias(f"_m{i}") for i, (_, k) in enumerate(match)])
+    names = [fresh(rows, f"_key{i}") for i in range(len(match))]
+    keys = keys.select(*[F.col(k).alias(n) for n, (_, k) in zip(names, match, strict=True)])
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     on = F.lit(True)
-    for i, (c, _) in enumerate(match):
-        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"_m{i}"))
+    for n, (c, _) in zip(names, match, strict=True):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(n))
     return rows.join(keys, on, how)
 
 

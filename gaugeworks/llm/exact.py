@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, join_groups, keep_matching, materialize, partitions, unfold
+from .common import drop_rows, fresh, join_groups, keep_matching, materialize, partitions, unfold
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -223,11 +223,12 @@ def keep_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = materialize(verdicts(df, id_col, text_col), "verdicts")
     stays = F.col("id").eqNullSafe(F.col("keep_id"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.withColumn("_hash", F.unhex(F.sha2(text.cast("binary"), 256)))
-    match = [(id_col, "id"), ("_hash", "digest")]
+    mark = fresh(df, "_hash")
+    rows = df.withColumn(mark, F.unhex(F.sha2(text.cast("binary"), 256)))
+    match = [(id_col, "id"), (mark, "digest")]
     kept = drop_rows(rows, found.where(~stays), match)
     repeated = found.where(stays & (F.col("copies") > 1))
     if not repeated.isEmpty():
         once = drop_rows(kept, repeated, match)
-        kept = once.unionByName(keep_matching(kept, repeated, match).dropDuplicates([id_col, "_hash"]))
-    return kept.drop("_hash")
+        kept = once.unionByName(keep_matching(kept, repeated, match).dropDuplicates([id_col, mark]))
+    return kept.drop(mark)

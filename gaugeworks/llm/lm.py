@@ -36,7 +36,9 @@ CHUNK_BYTES = 8 << 20
 FOLD = 3
 STEPS = 16
 END = np.uint64(0x5851F42D4C957F2D)
-BUCKETS = 64
+#: Chunks whose n-grams make up a hash bucket, at least 64 buckets: so a bucket's size
+#: doesn't follow the corpus.
+CHUNKS_A_BUCKET, LEAST_BITS = 4, 6
 EM_ROUNDS = 40
 
 
@@ -128,8 +130,8 @@ def _grams(words: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(mix(before + np.uint64(11)) + words[seq] * np.uint64(0x9FB21C651E98DF25)), return_inverse=True)
 
 
-def _requests(chunks: DataFrame) -> DataFrame:
-    """(bucket, order, chunk, fold, hashes, counts): distinct n-grams of each chunk by hash bucket."""
+def _requests(chunks: DataFrame, bits: int) -> DataFrame:
+    """(bucket, order, chunk, fold, hashes, counts): distinct n-grams of each chunk by 2**bits hash buckets."""
 
     def run(batches):
         for batch in batches:
@@ -140,11 +142,10 @@ def _requests(chunks: DataFrame) -> DataFrame:
                 rows = []
                 for order, hashes, number in ((1, words, seq), (2, pairs, own)):
                     counts = np.bincount(number[learn], minlength=len(hashes)).astype(np.uint32)
-                    cuts = np.searchsorted(hashes >> np.uint64(58), np.arange(BUCKETS + 1))
-                    for b in range(BUCKETS):
+                    cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                    for b in np.flatnonzero(np.diff(cuts)).tolist():
                         at = slice(cuts[b], cuts[b + 1])
-                        if cuts[b] < cuts[b + 1]:
-                            rows.append((b, order, r["chunk"], r["fold"], squeeze_sorted(hashes[at]), squeeze(counts[at])))
+                        rows.append((b, order, r["chunk"], r["fold"], squeeze_sorted(hashes[at]), squeeze(counts[at])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "order", "chunk", "fold", "hashes", "counts"])
 
     return chunks.mapInArrow(run, "bucket int, order int, chunk long, fold boolean, hashes binary, counts binary")
@@ -171,7 +172,8 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def count_table(chunks: DataFrame) -> DataFrame:
-    asked = _requests(chunks)
+    bits = max(LEAST_BITS, (chunks.count() // CHUNKS_A_BUCKET).bit_length())
+    asked = _requests(chunks, bits)
     schema = "chunk long, bucket int, order int, fold boolean, total binary, deleted binary, n long, v long, n_fold long"
     return materialize(asked.groupBy("bucket", "order").applyInArrow(_answer, schema), "counts")
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_PARTS, blocks, drop_rows, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
+from .common import HEAVY_PARTS, blocks, drop_rows, fresh, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
 
 #: Ratio of a band's largest to its smallest size, as a power of the threshold.
 BAND_POWER = 5
@@ -215,18 +215,18 @@ def _each_block(batch, column: int, words: int):
 
 
 def classes_of(rows: DataFrame, words: int, kind: str) -> DataFrame:
-    """(id, n, key, bits, brief) of each row; key is null for an empty set, brief has 8 words."""
+    """(id, h, n, key, bits, brief) of each row; key is null for an empty set, brief has 8 words, h is the text's hash."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, sets in _each_block(batch, 1, words):
                 maps = [bitmap(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x if x is None else x.view(np.int64) for x in maps], pa.list_(pa.int64())), pa.array([x if x is None else fold(x, BRIEF).view(np.int64) for x in maps], pa.list_(pa.int64()))],
-                    names=["id", "n", "key", "bits", "brief"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x if x is None else x.view(np.int64) for x in maps], pa.list_(pa.int64())), pa.array([x if x is None else fold(x, BRIEF).view(np.int64) for x in maps], pa.list_(pa.int64()))],
+                    names=["id", "h", "n", "key", "bits", "brief"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, n long, key long, bits array<long>, brief array<long>")
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {kind}, h long, n long, key long, bits array<long>, brief array<long>")
 
 
 def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: DataFrame, total: int) -> DataFrame:
@@ -471,6 +471,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
 
     component_id is the smallest id that links reach, the row's own included.
     """
+    return _components(df, id_col, text_col, rule).drop("h")
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """``near_duplicates`` with ``h``, a hash of each row's text."""
     rows = _texts(df, id_col, text_col)
     found = materialize(classes_of(rows, rule.words, id_type(df, id_col)), "classes")
     filled = found.where(F.col("key").isNotNull())
@@ -484,20 +489,24 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
         least = materialize(named.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("parts")), "least")
         whole = join_groups(named, least, "label", "parts", named.count()).select("key", "rows", "component_id")
     whole = materialize(whole, "components")
-    placed = join_groups(filled.select("id", "n", "key"), whole, "key", "rows", total)
-    empty = found.where(F.col("key").isNull()).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return placed.select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    placed = join_groups(filled.select("id", "h", "n", "key"), whole, "key", "rows", total)
+    empty = found.where(F.col("key").isNull()).select("id", "h", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return placed.select("id", "h", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
 def keep_rows(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """The rows of ``df`` that stay, all their columns: of each component the one with the smallest id.
 
-    Of repeated rows with that id one stays; rows without words all stay.
+    Of equal rows with that id one stays; rows without words all stay, and so do rows that
+    share the smallest id but not the text.
     """
-    found = materialize(near_duplicates(df, id_col, text_col, rule), "components")
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id")))
-    kept = drop_rows(df, gone, [(id_col, "id")])
-    repeated = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
-    if repeated.isEmpty():
-        return kept
-    return drop_rows(kept, repeated, [(id_col, "id")]).unionByName(keep_matching(kept, repeated, [(id_col, "id")]).dropDuplicates([id_col]))
+    found = materialize(_components(df, id_col, text_col, rule), "components")
+    stays = F.col("id").eqNullSafe(F.col("component_id"))
+    mark = fresh(df, "_h")
+    rows = df.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    match = [(id_col, "id"), (mark, "h")]
+    kept = drop_rows(rows, found.where(~stays), match)
+    repeated = found.where(stays & (F.col("n_shingles") > 0)).groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1")
+    if not repeated.isEmpty():
+        kept = drop_rows(kept, repeated, match).unionByName(keep_matching(kept, repeated, match).dropDuplicates([id_col, mark]))
+    return kept.drop(mark)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, unfold
+from .common import BROADCAST_ROWS, fresh, unfold
 
 SCOPE = 200
 
@@ -149,12 +149,13 @@ def redact(df: DataFrame, id_col: str, text_col: str, found: DataFrame, mask: st
     ``found`` is the result of ``scan``. Overlapping intervals are masked as one.
     """
     names = df.columns
-    hits = found.where(F.size("found") > 0).dropDuplicates(["id", "digest"]).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("found").alias("_found"))
+    id_name, digest_name, found_name, hash_name = (fresh(df, n) for n in ("_id", "_digest", "_found", "_hash"))
+    hits = found.where(F.size("found") > 0).dropDuplicates(["id", "digest"]).select(F.col("id").alias(id_name), F.col("digest").alias(digest_name), F.col("found").alias(found_name))
     body = F.col(f"`{text_col}`").cast("string")
-    rows = df.withColumn("_hash", F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))))
-    if (hits.agg(F.sum(F.size("_found") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+    rows = df.withColumn(hash_name, F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))))
+    if (hits.agg(F.sum(F.size(found_name) + 1)).first()[0] or 0) <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    rows = rows.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_digest")), "left")
+    rows = rows.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)) & (F.col(hash_name) == F.col(digest_name)), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc, x):
@@ -162,6 +163,6 @@ def redact(df: DataFrame, id_col: str, text_col: str, found: DataFrame, mask: st
         inside = x["start"] < acc["at"]
         return F.struct(F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    masked = F.aggregate(F.col("_found"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
-    changed = F.when(F.col("_found").isNull(), body).otherwise(masked)
+    masked = F.aggregate(F.col(found_name), start, step, lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body))))
+    changed = F.when(F.col(found_name).isNull(), body).otherwise(masked)
     return rows.withColumn(text_col, changed).select(*[F.col(f"`{c}`") for c in names])
