@@ -400,24 +400,23 @@ def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
     stop = len(edges) - 1 if last else len(edges) - 2
     own, key, label, n = (batch.column(i).to_numpy() for i in range(3, 7))
     bits = batch.column(7).flatten().to_numpy().reshape(-1, BRIEF).view(np.uint64)
-    out = []
-    for a, b in zip(edges[:stop].tolist(), edges[1 : stop + 1].tolist(), strict=True):
-        if b - a < 2:
-            continue
-        cross = marks[1, a] != marks[2, a]
-        for i in range(a, b - 1):
-            j = np.arange(i + 1, b)
-            fits = (label[j] != label[i]) & (rule.den * np.minimum(n[j], n[i]) >= rule.num * np.maximum(n[j], n[i])) & (key[j] != key[i])
-            if cross:
-                fits &= own[j] != own[i]
-            j = j[fits]
-            if len(j) == 0:
-                continue
-            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-            near = apart <= (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)
-            j = j[near]
-            if len(j):
-                out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i])))
+    ends = np.repeat(edges[1 : stop + 1], np.diff(edges[: stop + 1]))  # of the group of each row
+    cross = marks[1, : len(ends)] != marks[2, : len(ends)]
+    out, left, step = [], np.arange(len(ends)), 0
+    while True:  # rows a step apart in their group, for all groups at once
+        step += 1
+        left = left[left + step < ends[left]]
+        if len(left) == 0:
+            break
+        i, j = left, left + step
+        fits = (label[j] != label[i]) & (rule.den * np.minimum(n[j], n[i]) >= rule.num * np.maximum(n[j], n[i])) & (key[j] != key[i])
+        fits &= ~cross[i] | (own[j] != own[i])
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+        near = apart <= (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)
+        i, j = i[near], j[near]
+        if len(i):
+            out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i])))
     rest = batch.slice(int(edges[stop])) if not last else None
     done = []
     if out:
