@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import exact, langid, ngram_join, packing, secrets
-from gaugeworks.llm.common import documents, drop_rows, materialize, vocabulary_path
+from gaugeworks.llm.common import documents, materialize, vocabulary_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that have no language: those without a letter."""
     model = langid.train(docs, "text", "lang")
-    found = langid.predict(docs, model, "doc_id", "text").where(F.col("lang_pred") == langid.UNKNOWN)
-    return drop_rows(docs, materialize(found.select("id"), "rejected"), [("doc_id", "id")])
+    return langid.keep_rows(docs, model, "text")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,16 @@ def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+
+def keep_rows(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose text has a language, all their columns; each row is decided by its own text, never by its id."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            labels, _ = score_texts(shared.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

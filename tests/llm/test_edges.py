@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gaugeworks.llm import exact, langid, lines, lm, media, ngram_join, packing, pieces, secrets, shards
 from gaugeworks.llm.common import vocabulary_path
 
@@ -84,6 +85,14 @@ def test_language_cases(docs):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_language_stage_decides_each_row(spark, docs):
+    shared = docs.where("doc_id = 5").withColumn("text", F.lit("123").cast("string"))
+    kept = corpus_pipeline.language(spark, docs.unionByName(shared), "")
+    assert kept.columns == docs.columns
+    want = [(i, t) for i, t, _ in ROWS if t and any(map(str.isalpha, t))]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+
+
 def test_exact_cases(docs):
     rows = exact.exact_dedup(docs, "doc_id", "text").collect()
     fox = [r for r in rows if r["keep_id"] == 9]
