@@ -15,8 +15,7 @@ from gaugeworks.llm.common import documents, materialize, vocabulary_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that have no language: those without a letter."""
-    model = langid.train(docs, "text", "lang")
-    return langid.keep_rows(docs, model, "text")
+    return langid.keep_rows(docs, "text")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

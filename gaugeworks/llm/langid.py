@@ -174,14 +174,17 @@ def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
 
 
-def keep_rows(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+def rejection(text: str | None) -> str | None:
+    """Why a row has no language, or None. A label or an empty model is no reason."""
+    return None if text and has_letter(text) else "no letter"
+
+
+def keep_rows(df: DataFrame, text_col: str) -> DataFrame:
     """The rows of ``df`` whose text has a language, all their columns; each row is decided by its own text, never by its id."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            labels, _ = score_texts(shared.value, batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN for x in labels], pa.bool_()))
+            yield batch.filter(pa.array([rejection(t) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -93,6 +93,13 @@ def test_language_stage_decides_each_row(spark, docs):
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
 
 
+def test_language_stage_without_labels(spark, docs):
+    want = sum(1 for _, t, _ in ROWS if t and any(map(str.isalpha, t)))
+    for lang in (None, "und"):
+        kept = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(lang).cast("string")), "")
+        assert kept.count() == want
+
+
 def test_exact_cases(docs):
     rows = exact.exact_dedup(docs, "doc_id", "text").collect()
     fox = [r for r in rows if r["keep_id"] == 9]
