@@ -14,8 +14,9 @@ from gaugeworks.llm.common import documents, materialize, vocabulary_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that have no language: those without a letter."""
-    return langid.keep_rows(docs, "text")
+    """Rejects documents that have no language: no letter, or no label with half of the posterior."""
+    model = langid.train(docs, "text", "lang")
+    return langid.keep_rows(docs, model, "text")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ SCALE = 1 << 20
 #: Code points worked on at once.
 BLOCK_CHARS = 1 << 18
 ORDERS = 3
+#: A text whose best label has a smaller posterior has no language: all others together are likelier.
+MAJORITY = 0.5
 
 
 @dataclass(frozen=True)
@@ -174,17 +176,22 @@ def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
 
 
-def rejection(text: str | None) -> str | None:
-    """Why a row has no language, or None. A label or an empty model is no reason."""
-    return None if text and has_letter(text) else "no letter"
+def rejection(model: Model, text: str | None, score: float) -> str | None:
+    """Why a row has no language, or None. The label alone is no reason, and a model without labels decides nothing."""
+    if not text or not has_letter(text):
+        return "no letter"
+    return "no majority" if model.labels and score < MAJORITY else None
 
 
-def keep_rows(df: DataFrame, text_col: str) -> DataFrame:
+def keep_rows(df: DataFrame, model: Model, text_col: str) -> DataFrame:
     """The rows of ``df`` whose text has a language, all their columns; each row is decided by its own text, never by its id."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([rejection(t) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            _, scores = score_texts(shared.value, texts)
+            yield batch.filter(pa.array([rejection(shared.value, t, x) is None for t, x in zip(texts, scores, strict=True)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

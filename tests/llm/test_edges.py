@@ -100,6 +100,12 @@ def test_language_stage_without_labels(spark, docs):
         assert kept.count() == want
 
 
+def test_language_stage_follows_the_classifier(spark):
+    rows = [(1, "aaaa", "a"), (2, "bbbb", "b"), (3, "cccc", "c"), (4, "q", None), (5, "aaaa q", None)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 5]
+
+
 def test_exact_cases(docs):
     rows = exact.exact_dedup(docs, "doc_id", "text").collect()
     fox = [r for r in rows if r["keep_id"] == 9]
