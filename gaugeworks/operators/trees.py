@@ -7,51 +7,81 @@ a comparison of intervals, and intervals of one tree are nested or disjoint.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Classes that count, and default thresholds of the structure rules.
 BRANCHES = ("if", "elsif", "conditional_assignment", "ternary", "case", "loop", "except", "try", "binary")
 CONTROLS = ("if", "ternary", "switch", "loop", "except")
 THRESHOLDS = {"boolean-logic": 4, "file-complexity": 50, "function-complexity": 18, "nested-control-flow": 5, "function-parameters": 6, "return-statements": 6}
+ITERATORS = ("filter", "map", "any", "all")
 EFFORT = {"boolean-logic": (10, 12), "file-complexity": (50, 20), "function-complexity": (10, 5), "nested-control-flow": (15, 10), "function-parameters": (15, 2), "return-statements": (15, 5)}
 
 
-def nesting(nodes: DataFrame, classes, name: str) -> DataFrame:
-    """``name``: how many ancestors of a node are of ``classes``; one sort a file, no self-join."""
+def nesting(nodes: DataFrame, classes, name: str, keys=("path",)) -> DataFrame:
+    """``name``: how many ancestors of a node are of ``classes`` (or fulfil that condition); one sort a file, no self-join."""
     events = nodes.withColumn("_at", F.explode(F.array("enter", "leave")))
-    step = F.when(~F.col("class").isin(*classes) | F.col("class").isNull(), 0).when(F.col("_at") == F.col("enter"), 1).otherwise(-1)
-    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = classes if isinstance(classes, Column) else F.col("class").isin(*classes)
+    step = F.when(~F.coalesce(counts, F.lit(False)), 0).when(F.col("_at") == F.col("enter"), 1).otherwise(-1)
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     level = F.coalesce(F.sum(step).over(before), F.lit(0))
     return events.withColumn(name, level).where("_at = enter").drop("_at")
 
 
-def innermost(nodes: DataFrame, cls: str, name: str) -> DataFrame:
-    """``name``: ``enter`` of the innermost node of ``cls`` that holds the node, itself included.
+def _by_level(nodes: DataFrame, cls: str) -> DataFrame:
+    """``_level``: how many nodes of ``cls`` hold the node, itself (``_own``) included."""
+    rows = nesting(nodes, [cls], "_n").withColumn("_own", (F.coalesce(F.col("class"), F.lit("")) == cls).cast("int"))
+    return rows.withColumn("_level", F.col("_n") + F.col("_own")).drop("_n")
+
+
+def innermost(nodes: DataFrame, cls: str, name: str, value: str = "enter") -> DataFrame:
+    """``name``: ``value`` of the innermost node of ``cls`` that holds the node, itself included.
 
     A node of depth d of that class is the last one entered at nesting d, so a window by
     nesting finds it without a range join.
     """
-    rows = nesting(nodes, [cls], "_n").withColumn("_own", (F.coalesce(F.col("class"), F.lit("")) == cls).cast("int"))
-    rows = rows.withColumn("_level", F.col("_n") + F.col("_own"))
+    rows = _by_level(nodes, cls)
     last = Window.partitionBy("path", "_level").orderBy("enter").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_own") == 1, F.col("enter")), ignorenulls=True).over(last)
-    return rows.withColumn(name, F.when(F.col("_level") > 0, found)).drop("_n", "_own", "_level")
+    found = F.last(F.when(F.col("_own") == 1, F.col(value)), ignorenulls=True).over(last)
+    return rows.withColumn(name, F.when(F.col("_level") > 0, found)).drop("_own", "_level")
+
+
+def enclosing(nodes: DataFrame, cls: str, name: str) -> DataFrame:
+    """One row for each node and each node of ``cls`` that holds it, itself included; ``name`` is ``enter`` of the latter."""
+    rows = _by_level(nodes, cls).where("_level > 0").withColumn("_up", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_level").cast("bigint"))))
+    last = Window.partitionBy("path", "_up").orderBy("enter").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when((F.col("_own") == 1) & (F.col("_level") == F.col("_up")), F.col("enter")), ignorenulls=True).over(last)
+    return rows.withColumn(name, found).drop("_own", "_level", "_up")
 
 
 def cyclomatic(nodes: DataFrame, *keys: str) -> DataFrame:
-    """1 and one for each branch."""
-    return nodes.groupBy(*(keys or ("path",))).agg((F.count_if(F.col("class").isin(*BRANCHES)) + 1).alias("cyclomatic"))
+    """1 and one for each branch and each call of an iterator method."""
+    called = (F.col("class") == "call") & F.col("name").isin(*ITERATORS)
+    return nodes.groupBy(*(keys or ("path",))).agg((F.count_if(F.col("class").isin(*BRANCHES) | called) + 1).alias("cyclomatic"))
 
 
 def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
-    """Control nodes count 1 and their nesting; else-ifs, jumps count 1; closures nest only.
+    """Control nodes count 1 and their nesting; elses, else-ifs, jumps, conditional assignments and calls of the function itself count 1.
 
-    An else-if belongs to the chain of the if above it, so it adds no nesting of its own.
+    Closures and functions inside functions nest only. A boolean operator counts 1 if it
+    differs from the last one of the same file or function, wherever that was. An else-if
+    belongs to the chain of the if above it, so it adds no nesting of its own. A function
+    that only makes and returns one isn't counted as a function that others are inside of.
     """
-    rows = nesting(nodes, [*CONTROLS, "closure"], "_nest")
-    cost = F.when(F.col("class").isin(*CONTROLS), 1 + F.col("_nest")).when(F.col("class").isin("elsif", "jump"), 1).otherwise(0)
-    return rows.groupBy(*(keys or ("path",))).agg(F.sum(cost).cast("bigint").alias("complexity"))
+    keys = keys or ("path",)
+    decorator = F.coalesce(F.col("note") == "decorator", F.lit(False))
+    function = F.col("class") == "function"
+    rows = nodes if "_caller" in nodes.columns else innermost(nodes, "function", "_caller", "name")
+    rows = nesting(rows, function & ~decorator, "_outer", keys)
+    nests = F.col("class").isin(*CONTROLS, "closure") | (function & (F.col("_outer") >= F.when(decorator, 2).otherwise(1)))
+    rows = nesting(rows, nests, "_nest", keys)
+    before = Window.partitionBy(*keys).orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("class") == "operator", F.col("name")), ignorenulls=True).over(before)
+    changes = (F.col("class") == "operator") & ~F.col("name").eqNullSafe(F.col("_last"))
+    recursive = (F.col("class") == "call") & (F.col("note") == "self") & (F.col("name") == F.col("_caller"))
+    flat = F.col("class").isin("else", "elsif", "jump", "conditional_assignment") | changes | recursive
+    cost = F.when(F.col("class").isin(*CONTROLS), 1 + F.col("_nest")).when(flat, 1).otherwise(0)
+    return rows.withColumn("_last", last).groupBy(*keys).agg(F.sum(cost).cast("bigint").alias("complexity"))
 
 
 def boolean_depth(nodes: DataFrame) -> DataFrame:
@@ -114,7 +144,7 @@ def lcom4(nodes: DataFrame) -> DataFrame:
 def structure_issues(nodes: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
     """(path, rule_key, value, value_delta, effort_minutes) of the rules that fire; a threshold of None switches a rule off."""
     limits = {**THRESHOLDS, **(thresholds or {})}
-    in_function = innermost(nodes, "function", "function").where("function IS NOT NULL")
+    in_function = enclosing(innermost(nodes, "function", "_caller", "name"), "function", "function")
     values = {
         "boolean-logic": boolean_depth(nodes).select("path", F.col("depth").alias("value")),
         "nested-control-flow": control_depth(nodes).select("path", F.col("depth").alias("value")),

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 
 NODES = (
     "path string, lang string, enter int, leave int, parent int, depth int, kind string, class string, name string, "
-    "start_line int, end_line int, mass int, structural_hash string, source_hash string"
+    "start_line int, end_line int, mass int, structural_hash string, source_hash string, note string"
 )
 MAX_DEPTH = 300
 
 # Classes of Python node kinds.
 PYTHON_CLASSES = {
     "If": "if", "IfExp": "ternary", "Match": "switch", "match_case": "case", "For": "loop", "AsyncFor": "loop", "While": "loop",
-    "ExceptHandler": "except", "Try": "try", "TryStar": "try", "Break": "jump", "Continue": "jump", "Return": "return", "BoolOp": "binary",
+    "Else": "else", "Operator": "operator", "ExceptHandler": "except", "Try": "try", "TryStar": "try", "Break": "jump", "Continue": "jump", "Return": "return", "BoolOp": "binary",
     "Attribute": "field", "Call": "call", "FunctionDef": "function", "AsyncFunctionDef": "function", "Lambda": "closure", "ClassDef": "class",
 }
 
@@ -35,7 +35,7 @@ class _Tree:
         self.path, self.lang, self.lines, self.rows, self.at = path, lang, lines, [], 0
 
     def add(self, kind, cls, name, first, last, parent, depth):
-        self.rows.append([self.path, self.lang, self.at, -1, parent, depth, kind, cls, name, first, last, 1, "", ""])
+        self.rows.append([self.path, self.lang, self.at, -1, parent, depth, kind, cls, name, first, last, 1, "", "", None])
         self.at += 1
         return len(self.rows) - 1
 
@@ -50,6 +50,60 @@ class _Tree:
         row[13] = hashlib.md5("\n".join(x.strip() for x in self.lines[row[9] - 1 : row[10]]).encode()).hexdigest()
 
 
+class Else(ast.stmt):
+    """The else clause of an if, loop or try, which ``ast`` has no node for."""
+
+    _fields = ("body",)
+
+
+class Operator(ast.AST):
+    """``and`` or ``or`` between its two operands; as it isn't a named node, it has no mass."""
+
+    _fields = ()
+
+
+def _made(cls, **values):
+    node = cls()
+    for k, v in values.items():
+        setattr(node, k, v)
+    return node
+
+
+def _is_elif(node: ast.AST, above: ast.AST | None) -> bool:
+    """An elif begins in the column of its if; an if inside an else is indented further."""
+    return isinstance(node, ast.If) and isinstance(above, ast.If) and above.orelse == [node] and node.col_offset == above.col_offset
+
+
+def _parts(node: ast.AST):
+    """Child nodes in the order of the source, else clauses as nodes, operators of one kind nested to the left."""
+    if isinstance(node, ast.BoolOp):
+        left, right = node.values[:-1], node.values[-1]
+        yield left[0] if len(left) == 1 else _made(ast.BoolOp, op=node.op, values=left, lineno=left[0].lineno, end_lineno=left[-1].end_lineno)
+        yield _made(Operator, name=type(node.op).__name__.lower(), lineno=right.lineno, end_lineno=right.lineno)
+        yield right
+        return
+    for field, value in ast.iter_fields(node):
+        if field == "orelse" and isinstance(value, list) and value and not _is_elif(value[0], node):
+            yield _made(Else, body=value, lineno=value[0].lineno, end_lineno=value[-1].end_lineno)
+        else:
+            yield from (x for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST))
+
+
+def _note(node: ast.AST) -> tuple[str | None, str | None]:
+    """(name, note): the name a call calls, and 'self' if on self or nothing; 'decorator' for a function that only makes and returns one."""
+    if isinstance(node, ast.Call):
+        f = node.func
+        if isinstance(f, ast.Attribute):
+            return f.attr, "self" if isinstance(f.value, ast.Name) and f.value.id == "self" else None
+        return (f.id, "self") if isinstance(f, ast.Name) else (None, None)
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        body = node.body
+        made = len(body) == 2 and isinstance(body[0], (ast.FunctionDef, ast.AsyncFunctionDef)) and not body[0].decorator_list and isinstance(body[1], ast.Return)
+        return node.name, "decorator" if made else None
+    name = getattr(node, "name", None) or getattr(node, "attr", None) or getattr(node, "id", None) or getattr(node, "arg", None)
+    return (name if isinstance(name, str) else None), None
+
+
 def python_nodes(path: str, text: str) -> list[list]:
     try:
         tree = ast.parse(text)
@@ -59,17 +113,20 @@ def python_nodes(path: str, text: str) -> list[list]:
 
     def walk(node, parent, depth, inside):
         kind = type(node).__name__
-        cls = PYTHON_CLASSES.get(kind)
-        if kind == "If" and isinstance(parent_node := inside, ast.If) and parent_node.orelse == [node]:
-            cls = "elsif"
-        name = getattr(node, "name", None) or getattr(node, "attr", None) or getattr(node, "id", None) or getattr(node, "arg", None)
-        i = out.add(kind, cls, name if isinstance(name, str) else None, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), parent, depth)
+        cls = "elsif" if _is_elif(node, inside) else PYTHON_CLASSES.get(kind)
+        name, note = _note(node)
+        i = out.add(kind, cls, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), parent, depth)
+        out.rows[i][14] = note
         children = []
         if depth < MAX_DEPTH:
-            for child in ast.iter_child_nodes(node):
+            for child in _parts(node):
                 if not isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
-                    children.append(walk(child, out.rows[i][2], depth + 1, node))
+                    made = walk(child, out.rows[i][2], depth + 1, node)
+                    if not isinstance(child, Operator):
+                        children.append(made)
         out.close(i, children)
+        if isinstance(node, Operator):
+            out.rows[i][11] = 0
         return i
 
     walk(tree, None, 0, None)

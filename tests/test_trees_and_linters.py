@@ -45,6 +45,49 @@ def test_python_metrics(spark):
     assert {r["name"]: r["n"] for r in trees.parameters(t).collect()}["c"] == 1
 
 
+COMPLEX = """
+def walk(x, y):
+    if x and y and x or y:
+        for i in x:
+            walk(i, y)
+    elif y:
+        x = [a for a in y]
+    else:
+        if x:
+            other(x)
+    while x:
+        break
+    else:
+        y = any(x)
+    def inner(z):
+        if z or x:
+            inner(z)
+        return map(z, x)
+    return lambda q: q if q else x
+"""
+DECORATOR = """
+def make(f):
+    def call(x):
+        if x:
+            return f(x)
+    return call
+"""
+
+
+def test_complexity_counts_all_parts(spark):
+    t = table(spark, COMPLEX).cache()
+    # if 1, and 1, or 1, for 2, walk 1, elif 1, else 1, if in else 2, while 1, break 1, else 1, if in inner 2, inner 1, ternary in lambda 2
+    assert trees.cognitive(t).first()["complexity"] == 18
+    # 1, if, 3 operators, for, elif, if, while, any, if, or, map, ternary
+    assert trees.cyclomatic(t).first()["cyclomatic"] == 14
+    raised = {r["rule_key"]: r["value"] for r in trees.structure_issues(t).collect()}
+    assert raised["function-complexity"] == 18 and "file-complexity" not in raised
+    inner = trees.structure_issues(t, {"function-complexity": 3}).where("rule_key = 'function-complexity'").collect()
+    assert sorted(r["value"] for r in inner) == [3, 18]
+    assert trees.cognitive(table(spark, DECORATOR)).first()["complexity"] == 1
+    assert trees.cognitive(table(spark, DECORATOR.replace("return call", "x = 1; return call"))).first()["complexity"] == 2
+
+
 def test_bad_source_gives_no_rows(spark):
     assert table(spark, "def (").count() == 0
     assert table(spark, "<p>a<b>c</p></i>", "html").where("kind = 'b'").count() == 1
