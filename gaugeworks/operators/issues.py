@@ -194,13 +194,28 @@ def issue_counts(df: DataFrame, fail_level: int) -> DataFrame:
     return df.agg(F.count("*").alias("total_issues"), F.count_if(F.col("level") >= fail_level).alias("failure_issues"), F.count_if(F.col("category").isin(*SECURITY_CATEGORIES)).alias("total_security_issues"))
 
 
-def issue_order(df: DataFrame) -> DataFrame:
-    """Path (none first), start line (none is 0), level from high to low, message."""
-    return df.orderBy(F.asc_nulls_first("path"), F.coalesce("start_line", F.lit(0)), F.desc("level"), "message")
+def issue_order(df: DataFrame, *ties: str) -> DataFrame:
+    """Path (none first), start line (none is 0), level from high to low, message; then ``ties``."""
+    return df.orderBy(F.asc_nulls_first("path"), F.coalesce("start_line", F.lit(0)), F.desc("level"), "message", *ties)
 
 
-def build_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("tool", "driver", "rule_key", "path", "start_line")
+def build_order(df: DataFrame, *ties: str) -> DataFrame:
+    return df.orderBy("tool", "driver", "rule_key", "path", "start_line", *ties)
+
+
+def positions(ordered: DataFrame) -> DataFrame:
+    """``position``: number of each row of an ordered table, from 1.
+
+    Rows stay in the range partitions of the sort, which are written once; only their
+    sizes meet in one place.
+    """
+    rows = ordered.withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.checkpoint() if ordered.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_at") - F.shiftleft("_part", 33)
+    return rows.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + within + 1).drop("_at", "_part", "_start")
 
 
 def cap_per_file(df: DataFrame, keys: list[str], limit: int, order: list[str]) -> DataFrame:

@@ -182,13 +182,26 @@ def a20(t):
 @query("o01_issue_order", f"{W} SELECT id FROM issues ORDER BY path NULLS FIRST, coalesce(start_line, 0), level DESC, message, id LIMIT 500")
 def o01(t):
     """The first 500 issues of the total order."""
-    return issues(t).orderBy(F.asc_nulls_first("path"), F.coalesce("start_line", F.lit(0)), F.desc("level"), "message", "id").limit(500).select("id")
+    return I.issue_order(issues(t), "id").limit(500).select("id")
+
+
+@query("o01_issue_positions", f"{W} SELECT id, row_number() OVER (ORDER BY path NULLS FIRST, coalesce(start_line, 0), level DESC, message, id) AS position FROM issues")
+def o01_positions(t):
+    """Every issue with its place in the total order."""
+    return I.positions(I.issue_order(issues(t), "id")).select("id", "position")
 
 
 @query("o02_build_order", f"{W} SELECT id FROM issues ORDER BY tool, rule_key, path, start_line, id LIMIT 300")
 def o02(t):
     """The first 300 issues of a build."""
-    return issues(t).orderBy("tool", "rule_key", "path", "start_line", "id").limit(300).select("id")
+    return I.build_order(issues(t).withColumn("driver", F.lit("check")), "id").limit(300).select("id")
+
+
+@query("o02_build_positions", f"{W} SELECT id, row_number() OVER (ORDER BY tool, CASE WHEN level % 20 = 0 THEN 'check' ELSE 'audit' END, rule_key, path, start_line, id) AS position FROM issues")
+def o02_positions(t):
+    """Every issue with its place in a build, where tools have two drivers."""
+    rows = issues(t).withColumn("driver", F.when(F.col("level") % 20 == 0, "check").otherwise("audit"))
+    return I.positions(I.build_order(rows, "id")).select("id", "position")
 
 
 @query("u01_report_union", f"""{W}, {INVOCATIONS_SQL} SELECT 'issue' AS record, count(*) AS n FROM (SELECT id FROM issues WHERE level >= 40 UNION ALL SELECT id FROM issues WHERE tool = 'low') UNION ALL SELECT 'invocation', count(*) FROM invocations""")

@@ -8,6 +8,7 @@ from ..adapters import FILES_SQL, ISSUES_SQL, STATS_SQL, files, issues, stats
 from ..catalog import query
 from ..functions import text as X
 from ..operators import coverage, paths
+from ..operators.issues import positions
 
 PATHS_SQL = f"WITH {ISSUES_SQL}, p AS (SELECT DISTINCT path FROM issues)"
 SUMS = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in paths.SUMS)
@@ -90,6 +91,12 @@ def o04(t):
     return paths.stats_order(stats(t).select("path", "lines"), "lines", 25)
 
 
+@query("o04_stats_positions", f"WITH {STATS_SQL} SELECT path, lines, row_number() OVER (ORDER BY lines DESC, path) AS position FROM stats")
+def o04_positions(t):
+    """Every file with its place by length."""
+    return positions(paths.stats_order(stats(t).select("path", "lines"), "lines"))
+
+
 @query("o05_limited_names", f"{UP_SQL} SELECT path, lines FROM rolled ORDER BY path LIMIT 10")
 def o05(t):
     """The first ten directories by name."""
