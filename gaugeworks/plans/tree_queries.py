@@ -88,6 +88,21 @@ def d07(t):
     return rows.join(made, "path", "left_semi").select("path", "n")
 
 
+def modules(t):
+    """A file a part: statements that spell its key, so no two files are alike, the part's function, and a function g that many files share, with an inner loop."""
+    head = F.expr("array_join(transform(sequence(0, 31), i -> if(shiftright(p_partkey, i) % 2 = 1, 'k()\n', 'k = 1\n')), '')")
+    ifs = F.expr("array_join(transform(sequence(1, int(8 + p_partkey % 3)), i -> concat('        if y > ', i, ':\n            return y + ', p_partkey % 2, '\n')), '')")
+    g = F.concat(F.lit("\n\ndef g(z):\n    for y in z:\n"), ifs, F.lit("    return z\n"))
+    return sources(t).join(t("part").select(F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".py")).alias("path"), head.alias("head"), g.alias("g")), "path").select("path", F.concat("head", "contents", "g").alias("contents"))
+
+
+@query("d07_duplicate_functions")
+def d07_functions(t):
+    """Occurrences of code found more than once, inside files too, at the default thresholds."""
+    rows = trees.duplicates(nodes(modules(t), "python"))
+    return rows.select("path", "start_line", "end_line", "rule_key", "n", "mass", "lines", "effort_minutes")
+
+
 @query("d05_duplicate_html")
 def d05(t):
     """Identical and similar HTML of pages, with the other places."""

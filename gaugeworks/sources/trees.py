@@ -19,6 +19,8 @@ NODES = (
     "start_line int, end_line int, mass int, structural_hash string, source_hash string, note string"
 )
 MAX_DEPTH = 300
+#: Nodes after which a worker hands on its rows, so memory doesn't follow the number of files.
+BATCH_ROWS = 1 << 15
 
 # Classes of Python node kinds.
 PYTHON_CLASSES = {
@@ -178,11 +180,20 @@ def nodes(files: DataFrame, lang: str) -> DataFrame:
     parser = PARSERS[lang]
     names = [c.split()[0] for c in NODES.split(", ")]
 
+    def table(rows):
+        made = pd.DataFrame(rows, columns=names)
+        return made.astype({"parent": "Int32", "enter": "int32", "leave": "int32", "depth": "int32", "start_line": "int32", "end_line": "int32", "mass": "int32"})
+
     def run(frames):
         for frame in frames:
-            rows = [r for p, t in zip(frame["path"], frame["contents"], strict=True) if isinstance(t, str) for r in parser(p, t)]
+            rows = []
+            for p, t in zip(frame["path"], frame["contents"], strict=True):
+                if isinstance(t, str):
+                    rows += parser(p, t)
+                if len(rows) >= BATCH_ROWS:
+                    yield table(rows)
+                    rows = []
             if rows:
-                made = pd.DataFrame(rows, columns=names)
-                yield made.astype({"parent": "Int32", "enter": "int32", "leave": "int32", "depth": "int32", "start_line": "int32", "end_line": "int32", "mass": "int32"})
+                yield table(rows)
 
     return files.select("path", "contents").mapInPandas(run, NODES)

@@ -108,6 +108,31 @@ def test_duplication_prunes_inner_nodes(spark):
     assert {r["rule_key"] for r in rows} == {"identical-code"}
 
 
+def test_duplicate_functions_against_brute_force(spark, sf):
+    from collections import defaultdict
+
+    from gaugeworks.plans import registry
+    from gaugeworks.plans.tree_queries import modules
+
+    t = nodes(modules(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")), "python").collect()
+    groups = defaultdict(list)
+    for r in t:
+        if r["mass"] >= 64:
+            groups[r["structural_hash"]].append(r)
+    groups = {h: g for h, g in groups.items() if len(g) > 1}
+    grouped = defaultdict(list)
+    for r in (r for g in groups.values() for r in g):
+        grouped[r["path"]].append(r)
+    inner = {a["structural_hash"] for rows in grouped.values() for a in rows for b in rows if b["enter"] < a["enter"] and a["leave"] < b["leave"]}
+    want = []
+    for h in groups.keys() - inner:
+        kind = "identical-code" if len({r["source_hash"] for r in groups[h]}) == 1 else "similar-code"
+        want += [(r["path"], r["start_line"], r["end_line"], kind, len(groups[h]), r["mass"]) for r in groups[h] if r["end_line"] - r["start_line"] + 1 >= 15]
+    got = registry()["d07_duplicate_functions"].run(spark, sf).collect()
+    assert sorted(tuple(r)[:6] for r in got) == sorted(want)
+    assert inner and {r["start_line"] for r in got} - {1} and max(r["n"] for r in got) > 2
+
+
 OUTPUTS = {
     "actionlint": ('[{"message":"m","filepath":"w.yml","line":2,"column":3,"kind":"k","end_column":9}]', ("w.yml", "k", 40, 2)),
     "ast_grep": ('[{"file":"a","ruleId":"r","severity":"hint","message":"","range":{"start":{"line":0,"column":1},"end":{"line":2,"column":3}}}]', ("a", "r", 30, 1)),
