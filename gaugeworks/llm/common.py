@@ -80,13 +80,34 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    The table survives lost executors and is removed when the application ends.
+    The table survives lost executors. It goes with ``release`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gw-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark frees the shuffle files of a finished job when its driver collects garbage
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
+
+
+def dense_array(rows: DataFrame, place: str, value: str, size: int) -> DataFrame:
+    """One row and column ``all``: ``value`` at each ``place`` below ``size``, 0 where ``rows`` has none."""
+    block, kind = 1 << 12, rows.schema[value].dataType.simpleString()
+    at = F.col("at").cast("long")
+    rows = rows.select(F.col(place).cast("long").alias("at"), value)
+    every = rows.sparkSession.range(size).select(F.col("id").alias("at")).join(rows, "at", "left").select("at", F.coalesce(value, F.lit(0).cast(kind)).alias(value))
+    runs = every.groupBy(F.expr(f"at div {block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), value))).alias("run"))
+    runs = runs.select("block", F.transform("run", lambda x: x[value]).alias("run"))
+    whole = runs.agg(F.sort_array(F.collect_list(F.struct("block", "run"))).alias("runs"))
+    return materialize(whole.select(F.flatten(F.transform("runs", lambda x: x["run"])).alias("all")), "array")
 
 
 def partitions(spark: SparkSession) -> int:
