@@ -11,8 +11,16 @@ takes one from the allowance if the sets differ there and is indexed by its subs
 of two units takes two if they differ by two, so it is indexed by its subset and by the
 subsets with one deletion. By the pigeonhole every linked pair shares an entry.
 How many segments get two units is allocated by cost from the counts of the bands: index
-rows against expected accidental matches. Empty segments, which match anything, are
-left out by sets that have no more of them than the spare units.
+rows against expected accidental matches.
+
+A passage that many texts share would make each pair of them meet. So a set is indexed by its
+rare shingles first: dropping the frequent ones from all sets makes no symmetric difference
+larger, and the pigeonhole holds. Segments that are empty, or would be after a deletion,
+match anything and make no entry; a set that has no more units of them than the spare ones
+shares an entry with all it links with, however many the other set has. Only sets with more
+are indexed by all their shingles too, and if too many segments are still empty, by these.
+Frequent shingles are told by counts of hash slots over all texts (lossy counts: a partition
+reports slots it met often), so the mark is the same for every text.
 
 *Verification* is exact on whole sets. Before it, a parity bitmap of two to four bits a shingle (their
 Hamming distance is a lower bound of the symmetric difference) drops most pairs that
@@ -41,18 +49,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_PARTS, blocks, drop_rows, fresh, id_type, join_groups, keep_matching, materialize, mix, text_buffers, word_hashes
+from .common import HEAVY_PARTS, blocks, drop_rows, fresh, id_type, join_groups, keep_matching, materialize, mix, release, text_buffers, word_hashes
 
 #: Ratio of a band's largest to its smallest size, as a power of the threshold.
-BAND_POWER = 5
+BAND_POWER = 3
 #: Share of shingles that unrelated texts are taken to have in common, and the cost of
 #: one accidental match in index rows: both only steer the allocation.
 COMMON_SHARE, MATCH_COST = 0.02, 0.25
 #: Words of the brief bitmap, which goes with every index entry that is compared.
-BRIEF = 8
+BRIEF = 16
 #: Most members of an entry that one task compares at once; more are dealt in blocks.
 BLOCK_MEMBERS = 2048
 FILTER_BITS = 1 << 24
+#: Slots of shingle counts: so many a row, within these bounds.
+SLOTS_A_ROW, SLOTS_LEAST, SLOTS_MOST = 16, 1 << 18, 1 << 24
+#: A slot counts as frequent from so many shingles on, and so many times the average.
+FREQUENT, FREQUENT_TIMES = 64, 8
+#: Fewest shingles that a partition reports of a slot.
+REPORTED = 8
 
 
 @dataclass(frozen=True)
@@ -97,8 +111,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the set in each of at least 512, about 2n to 4n cells, as 64-bit words."""
-    cells = max(512, 1 << (2 * len(s) - 1).bit_length())
+    """Parity of the set in each of at least 64 BRIEF, about 2n to 4n cells, as 64-bit words."""
+    cells = max(64 * BRIEF, 1 << (2 * len(s) - 1).bit_length())
     cell = (mix(s + np.uint64(77)) & np.uint64(cells - 1)).astype(np.int64)
     odd = (np.bincount(cell, minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
@@ -147,7 +161,7 @@ def allocate(number: int, lo: int, hi: int, allowance: int, rows: int, mean: flo
     spare = 1
     for _ in range(4):
         units = allowance + 1 + spare
-        empty = units * math.exp(-mean / units)
+        empty = units * math.exp(-max(lo, 1) / units)
         spare = math.ceil(empty + 4 * math.sqrt(empty))
     units = allowance + 1 + spare
     fill, apart = mean / units, 1 - COMMON_SHARE
@@ -178,28 +192,38 @@ class Index:
             self.tables[k] = s.cuts(), salts
         return self.tables[k]
 
-    def entries(self, s: np.ndarray) -> np.ndarray:
+    def entries(self, s: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
+        """Entries of the set ``s``; ``rare`` marks the shingles that aren't frequent."""
         n, out = len(s), []
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(s + np.uint64(5)), out=sums[1:])
         for k in np.flatnonzero((self.lows <= n) & (n <= self.highs)).tolist():
-            scheme = self.schemes[k]
-            cuts, salts = self._table(k)
-            at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
-            subset = sums[at[1:]] - sums[at[:-1]] + salts
-            one = scheme.single
-            full = at[1 : one + 1] > at[:one]
-            if one - int(full.sum()) <= scheme.spare:
-                out.append(subset[:one][full])
-            else:
-                out.append(subset[:one])
-            if scheme.double:
-                out.append(subset[one:])
-                tail = at[one]
-                own = np.repeat(subset[one:], np.diff(at[one:]))
-                out.append(own - mix(s[tail:] + np.uint64(5)))
+            if rare is not None:
+                some, able = self._segments(k, s[rare], 0)
+                out.append(some)
+                if able:
+                    continue
+            out.append(self._segments(k, s, 1)[0])
         return mix(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
+    def _segments(self, k: int, s: np.ndarray, salt: int) -> tuple[np.ndarray, bool]:
+        """(entries, whether the segments left out have at most the spare units)."""
+        scheme, n, salt = self.schemes[k], len(s), np.uint64(salt << 60)
+        cuts, salts = self._table(k)
+        codes = mix(s + np.uint64(5))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes, out=sums[1:])
+        at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
+        size = np.diff(at)
+        subset = sums[at[1:]] - sums[at[:-1]] + salts + salt
+        one = scheme.single
+        able = int((size[:one] == 0).sum()) + 2 * int((size[one:] < 2).sum()) <= scheme.spare
+        whole = not able and salt  # nothing else is left to find it by
+        out = [subset if whole else subset[size > 0]]
+        if scheme.double:
+            tail = at[one]
+            own = np.repeat(subset[one:], size[one:]) - codes[tail:]
+            out.append(own if whole else own[np.repeat(size[one:], size[one:]) > 1])
+        return np.concatenate(out), able
+
 
 # ------------------------------------------------------------------ passes over the texts
 
@@ -214,22 +238,51 @@ def _each_block(batch, column: int, words: int):
         yield lo, hi, shingle_sets(raw, offsets[lo : hi + 1], words)
 
 
-def classes_of(rows: DataFrame, words: int, kind: str) -> DataFrame:
-    """(id, h, n, key, bits, brief) of each row; key is null for an empty set, brief has 8 words, h is the text's hash."""
+def classes_of(rows: DataFrame, words: int, kind: str, slots: int) -> DataFrame:
+    """(id, h, n, key, bits, brief) of each row; key is null for an empty set, h is the text's hash.
+
+    One more row a partition has ``slots`` and ``counts``: the slots in which it met many shingles.
+    """
+    maps_type, kinds = pa.list_(pa.int64()), pa.list_(pa.int32())
 
     def run(batches):
+        id_type, total = None, np.zeros(slots, np.int32)
         for batch in batches:
+            id_type = batch.column(0).type
             for lo, hi, sets in _each_block(batch, 1, words):
+                if any(len(s) for s in sets):
+                    at, times = np.unique(_slot(np.concatenate(sets), slots), return_counts=True)
+                    total[at] += times.astype(np.int32)
                 maps = [bitmap(s) if len(s) else None for s in sets]
+                brief = [x if x is None else fold(x, BRIEF).view(np.int64) for x in maps]
+                none = pa.nulls(hi - lo, kinds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x if x is None else x.view(np.int64) for x in maps], pa.list_(pa.int64())), pa.array([x if x is None else fold(x, BRIEF).view(np.int64) for x in maps], pa.list_(pa.int64()))],
-                    names=["id", "h", "n", "key", "bits", "brief"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([x if x is None else x.view(np.int64) for x in maps], maps_type), pa.array(brief, maps_type), none, none],
+                    names=["id", "h", "n", "key", "bits", "brief", "slots", "counts"],
                 )
+        often = np.flatnonzero(total >= REPORTED).astype(np.int32)
+        if len(often):
+            own = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), maps_type, maps_type)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([often], kinds), pa.array([total[often]], kinds)], names=["id", "h", "n", "key", "bits", "brief", "slots", "counts"])
+
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {kind}, h long, n long, key long, bits array<long>, brief array<long>, slots array<int>, counts array<int>")
 
-    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {kind}, h long, n long, key long, bits array<long>, brief array<long>")
 
+def _slot(s: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(s + np.uint64(33)) & np.uint64(slots - 1)).astype(np.int64)
 
-def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: DataFrame, total: int) -> DataFrame:
+
+def frequent_slots(reports: DataFrame, slots: int, shingles: int) -> np.ndarray:
+    """A bit a slot: whether its shingles count as frequent."""
+    least = max(FREQUENT, FREQUENT_TIMES * shingles // slots)
+    pairs = reports.select(F.explode(F.arrays_zip("slots", "counts")).alias("p")).groupBy("p.slots").agg(F.sum("p.counts").alias("c"))
+    marks = pairs.where(F.col("c") >= least).selectExpr("slots div 64 AS w", "shiftleft(1L, cast(slots % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("v")).toPandas()
+    table = np.zeros(slots // 64, np.int64)
+    table[marks["w"].to_numpy(np.int64)] = marks["v"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: DataFrame, total: int, frequent: np.ndarray) -> DataFrame:
     """(key, entries) of one row of each class that some scheme takes.
 
     Rows that don't stand for their class are passed over: of classes with more than
@@ -238,22 +291,27 @@ def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: Data
     """
     least = min((s.lo for s in schemes), default=0)
     heavy = {r["key"]: r["id"] for r in classes.where(F.col("rows") > max(1, total // HEAVY_PARTS)).select("key", "id").collect()}
-    shared = rows.sparkSession.sparkContext.broadcast((_filter_bits(classes.select("id")), heavy))
+    shared = rows.sparkSession.sparkContext.broadcast((_filter_bits(classes.select("id")), heavy, frequent))
 
     def run(batches):
         index = Index(schemes)
         for batch in batches:
-            bits, large = shared.value
+            bits, large, often = shared.value
             batch = _passed(batch, bits)
             ids = batch.column(0).to_pylist() if large else None
             for lo, _, sets in _each_block(batch, 1, words):
                 keys = [set_key(s) if len(s) >= least else None for s in sets]
                 own = [i for i, k in enumerate(keys) if k is not None and (k not in large or ids[lo + i] == large[k])]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.int64()), pa.array([index.entries(sets[i]) for i in own], pa.list_(pa.int64()))], names=["key", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.int64()), pa.array([index.entries(sets[i], _rare(sets[i], often)) for i in own], pa.list_(pa.int64()))], names=["key", "entries"])
 
     return rows.withColumn("p", _place()).mapInArrow(run, "key long, entries array<long>")
 
 
+def _rare(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    at = _slot(s, 64 * len(frequent))
+    return ((frequent[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 0
+
+
 def _place():
     return F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS).cast("long"))
 
@@ -291,9 +349,7 @@ def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (x, y) that size and bitmap allow, with their Hamming distance."""
     one = classes.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     two = classes.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    joined = pairs.join(classes.select(F.col("key").alias("x"), F.col("n").alias("mx")), "x").join(classes.select(F.col("key").alias("y"), F.col("n").alias("my")), "y")
-    joined = joined.where(F.lit(rule.den) * F.least("mx", "my") >= F.lit(rule.num) * F.greatest("mx", "my")).select("x", "y")
-    joined = joined.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "bx", "by")
+    joined = pairs.join(one, "x").join(two, "y").where(F.lit(rule.den) * F.least("nx", "ny") >= F.lit(rule.num) * F.greatest("nx", "ny")).select("x", "y", "nx", "ny", "bx", "by")
 
     def run(batches):
         for batch in batches:
@@ -327,7 +383,9 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) ->
                     keep.append(i)
             yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
-    return joined.select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+    links = materialize(joined.select("x", "y", "a", "b").mapInArrow(run, "x long, y long"), "links")
+    release(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -425,7 +483,7 @@ def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
     return rest, done
 
 
-def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int) -> DataFrame | None:
+def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int, frequent: np.ndarray) -> DataFrame | None:
     """(node, label) of all classes that link with another, or None if none does."""
     sizes = classes.groupBy("n").agg(F.count("*").alias("c")).toPandas()  # as many rows as there are sizes
     schemes = []
@@ -435,7 +493,7 @@ def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int) ->
             schemes.append(allocate(k, lo, hi, allowance, int(own["c"].sum()), float((own["n"] * own["c"]).sum() / own["c"].sum())))
     if not schemes:
         return None
-    index = entries_of(rows, rule.words, schemes, classes, total)
+    index = entries_of(rows, rule.words, schemes, classes, total, frequent)
     entry = Window.partitionBy("entry")
     members = index.select("key", F.explode("entries").alias("entry"))
     members = members.withColumn("last", F.max("key").over(entry)).withColumn("first", F.min("key").over(entry))
@@ -444,11 +502,12 @@ def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int) ->
     stars = members.where("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y")).distinct()
     tried = _near(stars, classes, rule).groupBy("y").agg(F.min_by("x", F.struct("apart", "x")).alias("x")).select("x", "y")
     tried = materialize(tried, "tried")
-    links = materialize(verify(tried, rows, classes, rule), "links")
+    links = verify(tried, rows, classes, rule)
     labels = None if links.isEmpty() else components(links)
     # what may still link across components: closest pairs first, then all
     pairs = _across(members.select("entry", "key"), classes, labels, rule).join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     pairs = materialize(pairs, "pairs")
+    release(members, tried)
     for k in range(3):
         if pairs.isEmpty():
             break
@@ -458,7 +517,7 @@ def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int) ->
         chosen = materialize(chosen.select("x", "y"), "chosen")
         if chosen.isEmpty():
             break
-        more = materialize(verify(chosen, rows, classes, rule), "links")
+        more = verify(chosen, rows, classes, rule)
         if not more.isEmpty():
             labels = _relabel(labels, more)
         pairs = left.select("x", "y", "apart").join(chosen, ["x", "y"], "left_anti")
@@ -476,11 +535,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, rule: Rule = Rule
 def _components(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     """``near_duplicates`` with ``h``, a hash of each row's text."""
     rows = _texts(df, id_col, text_col)
-    found = materialize(classes_of(rows, rule.words, id_type(df, id_col)), "classes")
+    slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (SLOTS_A_ROW * df.count()).bit_length()))
+    every = materialize(classes_of(rows, rule.words, id_type(df, id_col), slots), "classes")
+    found = every.where(F.col("slots").isNull())
     filled = found.where(F.col("key").isNotNull())
     classes = materialize(filled.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("brief").alias("brief"), F.count("*").alias("rows")), "keys")
-    total = filled.count()
-    labels = link_classes(rows, classes, rule, total)
+    total, shingles = filled.agg(F.count("*"), F.sum("n")).first()
+    frequent = frequent_slots(every.where(F.col("slots").isNotNull()), slots, shingles or 0)
+    labels = link_classes(rows, classes, rule, total, frequent)
     if labels is None:
         whole = classes.select("key", "rows", F.col("id").alias("component_id"))
     else:
@@ -488,6 +550,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFr
         least = materialize(named.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("parts")), "least")
         whole = join_groups(named, least, "label", "parts", named.count()).select("key", "rows", "component_id")
     whole = materialize(whole, "components")
+    release(classes)
     placed = join_groups(filled.select("id", "h", "n", "key"), whole, "key", "rows", total)
     empty = found.where(F.col("key").isNull()).select("id", "h", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return placed.select("id", "h", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)

@@ -151,6 +151,11 @@ def test_every_linked_pair_shares_an_entry():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= 90 * (len(a) + len(b) - both) and len(keep) + len(extra) and not np.array_equal(a, b):
                     assert np.intersect1d(index.entries(a), index.entries(b)).size
+                    for share in (0.1, 0.5, 0.9):  # whatever shingles are frequent
+                        rare = [rng.random() > share if share < 0.9 else x % 16 < 2 for x in pool.tolist()]
+                        mark = dict(zip(pool.tolist(), rare, strict=True))
+                        own = [np.array([mark[x] for x in s.tolist()]) for s in (a, b)]
+                        assert np.intersect1d(index.entries(a, own[0]), index.entries(b, own[1])).size
 
 
 def test_line_dedup_against_brute_force(spark):
