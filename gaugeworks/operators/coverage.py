@@ -30,15 +30,16 @@ def merge_reports(df: DataFrame) -> DataFrame:
     """(path, hits): reports of a path merged, cut to the shortest.
 
     A line is the least value where any report omits it, else the sum. Lines are summed
-    by (path, position), which the map side combines; no task holds a path's reports.
+    by (path, position), which the map side combines; no task holds a path's reports. A
+    report also counts itself at position -1, so one pass tells which lines all reports have.
     """
-    shortest = df.groupBy("path").agg(F.min(F.size("hits")).alias("n"))
-    lines = df.select("path", F.posexplode("hits").alias("pos", "hit"))
-    merged = lines.groupBy("path", "pos").agg(F.min("hit").alias("low"), F.sum("hit").alias("sum"))
+    marked = F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("hits", F.array().cast("array<bigint>")))
+    lines = df.select("path", F.posexplode(marked).alias("pos", "hit"))
+    merged = lines.groupBy("path", "pos").agg(F.min("hit").alias("low"), F.sum("hit").alias("sum"), F.count("*").alias("reports"))
     value = F.when(F.col("low") < 0, F.col("low")).otherwise(F.col("sum"))
-    cut = shortest.join(merged.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("pos") < F.col("n")), "left")
-    rows = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", value.alias("v"))))).alias("rows"))
-    return rows.select("path", F.transform("rows", lambda r: r["v"]).alias("hits"))
+    rows = merged.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - 1).alias("pos"), "reports", value.alias("v")))).alias("rows"))
+    every = F.filter(F.slice("rows", F.lit(2), F.size("rows")), lambda r: r["reports"] == F.col("rows")[0]["reports"])
+    return rows.select("path", F.transform(every, lambda r: r["v"]).alias("hits"))
 
 
 def combined_totals(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FMT, SECURITY_CATEGORIES
+from ..storage import checkpointed
 from .coverage import matches
 
 # ------------------------------------------------------------------ predicates
@@ -144,7 +145,8 @@ def documentation_urls(df: DataFrame, plugins: DataFrame) -> DataFrame:
 
 def plugin_modes(df: DataFrame, plugins: DataFrame) -> DataFrame:
     first = plugins.groupBy("tool").agg(F.min_by("plugin_mode", "ordinal").alias("_mode"))
-    return df.join(first, "tool", "left").withColumn("mode", F.coalesce("_mode", "mode")).drop("_mode")
+    found = first.withColumn("_found", F.lit(True))  # a plugin without a mode of its own takes the mode away
+    return df.join(found, "tool", "left").withColumn("mode", F.when(F.col("_found"), F.col("_mode")).otherwise(F.col("mode"))).drop("_mode", "_found")
 
 
 def snippets(df: DataFrame, files: DataFrame, context: int = 10) -> DataFrame:
@@ -170,7 +172,8 @@ def fix_issue_path(path: Column, prefix: str = "", root: str = "") -> Column:
     """A tool's path made relative to the workspace."""
     out = F.regexp_replace(path, "^file://", "")
     if root:
-        out = F.regexp_replace(out, "^(/private)?" + root.rstrip("/") + "/", "")
+        literal = "\\Q" + root.rstrip("/").replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        out = F.regexp_replace(out, "^(/private)?" + literal + "/", "")
     out = F.regexp_replace(F.regexp_replace(out, r"^\./", ""), "^/", "")
     return F.concat(F.lit(prefix.rstrip("/") + "/"), out) if prefix else out
 
@@ -210,7 +213,7 @@ def positions(ordered: DataFrame) -> DataFrame:
     sizes meet in one place.
     """
     rows = ordered.withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.checkpoint() if ordered.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+    rows = checkpointed(rows)
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -220,9 +223,8 @@ def positions(ordered: DataFrame) -> DataFrame:
 
 def cap_per_file(df: DataFrame, keys: list[str], limit: int, order: list[str]) -> DataFrame:
     """At most ``limit`` rows of a file and invocation; ``capped`` tells whose transformers are skipped."""
-    per = Window.partitionBy(*keys)
-    rows = df.withColumn("_n", F.row_number().over(per.orderBy(*order))).withColumn("_all", F.count("*").over(per))
-    return rows.where(F.col("_n") <= limit).withColumn("capped", F.col("_all") >= limit).drop("_n", "_all")
+    best = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= limit)  # a top-n, cut before the shuffle
+    return best.withColumn("capped", F.count("*").over(Window.partitionBy(*keys)) >= limit).drop("_n")
 
 
 def enforce_limit(df: DataFrame, limit: int = 50_000) -> DataFrame:

@@ -94,8 +94,8 @@ def control_depth(nodes: DataFrame) -> DataFrame:
 
 
 def counts(nodes: DataFrame) -> DataFrame:
-    """(path, classes, functions, fields): fields are counted by name."""
-    return nodes.groupBy("path").agg(F.count_if(F.col("class") == "class").alias("classes"), F.count_if(F.col("class") == "function").alias("functions"), F.count_distinct(F.when(F.col("class") == "field", F.col("name"))).alias("fields"))
+    """(path, classes, functions, fields): fields are counted by name; what is called is no field."""
+    return nodes.groupBy("path").agg(F.count_if(F.col("class") == "class").alias("classes"), F.count_if(F.col("class") == "function").alias("functions"), F.count_distinct(F.when((F.col("class") == "field") & ~F.col("note").eqNullSafe("called"), F.col("name"))).alias("fields"))
 
 
 def parameters(nodes: DataFrame) -> DataFrame:

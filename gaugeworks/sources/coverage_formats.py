@@ -18,9 +18,14 @@ def infer(name: Column, content: Column) -> Column:
 
 
 def dense(pairs: Column, size: Column) -> Column:
-    """Array of ``size`` values from sorted distinct (line, value) pairs; gaps are -1."""
-    lookup = F.map_from_entries(pairs)
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(size, F.lit(1))), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(-1).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
+    """Array of at least ``size`` values from sorted distinct (line, value) pairs; gaps are -1.
+
+    Each pair brings the gap before it, so the work is linear in the size.
+    """
+    gap = lambda n: F.array_repeat(F.lit(-1).cast("bigint"), F.greatest(n, F.lit(0)).cast("int"))
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(pairs, lambda p: p["line"]))
+    filled = F.flatten(F.zip_with(pairs, F.slice(before, F.lit(1), F.size(pairs)), lambda p, b: F.concat(gap(p["line"] - b - 1), F.array(p["value"]))))
+    return F.concat(filled, gap(size - F.element_at(before, -1)))
 
 
 def _gather(lines: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -113,12 +118,14 @@ def clover(reports: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{file}>")
     own = F.coalesce(project["file"], none)
     packed = F.flatten(F.transform(F.coalesce(project["package"], F.array().cast(f"array<struct<file:array<{file}>>>")), lambda p: F.coalesce(p["file"], none)))
-    rows = reports.select("file", F.explode(F.concat(own, packed)).alias("f"))
+    rows = reports.select("file", F.posexplode(F.concat(own, packed)).alias("record", "f"))
     lines = F.array_sort(F.filter(F.transform(F.coalesce("f.line", F.array().cast("array<struct<_num:string,_count:string>>")), lambda x, i: F.struct(x["_num"].try_cast("bigint").alias("num"), i.alias("i"), x["_count"].cast("bigint").alias("count"))), lambda x: x["num"] > 0))
-    filled = F.aggregate(lines, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array_repeat(F.lit(-1).cast("bigint"), F.greatest(x["num"] - 1 - F.size(acc), F.lit(0)).cast("int")), F.array(x["count"])))
-    loc = F.coalesce(F.col("f.metrics._loc").try_cast("int"), F.lit(0))
-    padded = F.concat(filled, F.array_repeat(F.lit(-1).cast("bigint"), F.greatest(loc - F.size(filled), F.lit(0))))
-    return rows.select("file", F.coalesce("f._path", "f._name").alias("path"), padded.alias("hits"))
+    loc = F.coalesce(F.col("f.metrics._loc").try_cast("bigint"), F.lit(0))
+    rows = rows.select("file", "record", F.coalesce("f._path", "f._name").alias("path"), loc.alias("size"), F.posexplode_outer(lines).alias("k", "l"))
+    upto = Window.partitionBy("file", "record").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(F.col("l").isNotNull(), F.col("k") + F.max(F.col("l.num") - F.col("k")).over(upto))  # a place after the last one at least
+    rows = rows.withColumn("line", place).groupBy("file", "record", "path", "size").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", F.col("l.count").alias("value"))))).alias("rows"))
+    return rows.select("file", "path", dense(F.col("rows"), F.col("size")).alias("hits"))
 
 
 def jacoco(reports: DataFrame) -> DataFrame:

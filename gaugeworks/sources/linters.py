@@ -91,7 +91,9 @@ def regex(outputs: DataFrame, pattern: str) -> DataFrame:
     import re
 
     order = list(re.compile(pattern.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!")).groupindex)
-    java = pattern.replace("(?P<", "(?<").replace("_", "") if "_" in "".join(order) else pattern.replace("(?P<", "(?<")
+    java = pattern.replace("(?P<", "(?<")
+    for g in order:  # Java's group names have no underscore
+        java = java.replace(f"(?<{g}>", f"(?<{g.replace('_', '')}>")
     lines = outputs.select("file", F.explode(F.split(F.replace("output", F.lit("\r"), F.lit("")), "\n")).alias("l")).where(F.col("l").rlike(java))
     group = {g: F.nullif(F.regexp_extract("l", java, i + 1), F.lit("")) for i, g in enumerate(order)}
     severity = group.get("severity", F.lit(None).cast("string"))

@@ -117,6 +117,8 @@ def python_nodes(path: str, text: str) -> list[list]:
         kind = type(node).__name__
         cls = "elsif" if _is_elif(node, inside) else PYTHON_CLASSES.get(kind)
         name, note = _note(node)
+        if isinstance(inside, ast.Call) and inside.func is node:
+            note = "called"
         i = out.add(kind, cls, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), parent, depth)
         out.rows[i][14] = note
         children = []

@@ -93,3 +93,32 @@ def test_streaming_merge(spark, tmp_path):
     rows = {(r["path"], r["pos"]): r["hit"] for r in spark.sql("SELECT * FROM merged").collect()}
     q.stop()
     assert rows == {("a", 0): 3, ("a", 1): -1}
+
+
+def test_stream_cuts_to_the_shortest_as_a_batch_does(spark, tmp_path):
+    from gaugeworks.streaming.coverage import merged_lines, read_reports, running_merge
+
+    rows = [("a", [1, -1, 3]), ("a", [1, 2]), ("b", [4]), ("b", []), ("c", [0, 5])]
+    reports = spark.createDataFrame(rows, "path string, hits array<bigint>")
+    reports.write.parquet(str(tmp_path / "in"))
+    q = running_merge(read_reports(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("cut").start()
+    q.processAllAvailable()
+    got = {}
+    for r in merged_lines(spark.table("cut")).orderBy("path", "pos").collect():
+        got.setdefault(r["path"], []).append(r["hit"])
+    q.stop()
+    want = {r["path"]: list(r["hits"]) for r in C.merge_reports(reports).collect()}
+    assert want == {"a": [2, -1], "b": [], "c": [0, 5]} and got == {k: v for k, v in want.items() if v}
+
+
+def test_lcov_of_many_lines_is_linear(spark):
+    text = "SF:f\n" + "\n".join(f"DA:{i},{i % 3}" for i in range(3, 200_001, 2)) + "\nend_of_record\n"
+    rows = R.lcov(spark.createDataFrame([("r", text)], "file string, content string")).collect()
+    hits = rows[0]["hits"]
+    assert len(hits) == 199_999 and hits[:5] == [-1, -1, 0, -1, 2] and hits[-1] == 199_999 % 3
+
+
+def test_clover_numbers_given_twice_shift(spark):
+    xml = '<coverage><project><file name="f" path="p/f"><line num="2" count="5"/><line num="2" count="6"/><line num="3" count="7"/><line num="9" count="8"/><metrics loc="11"/></file><file name="g"/></project></coverage>'
+    rows = {r["path"]: list(r["hits"]) for r in R.clover(spark.createDataFrame([("r", xml)], "file string, content string")).collect()}
+    assert rows == {"p/f": [-1, 5, 6, 7, -1, -1, -1, -1, 8, -1, -1], "g": []}
