@@ -179,3 +179,9 @@ def validate(df: DataFrame, listing: DataFrame, threshold: float = 90.0) -> Data
 def found_missing(df: DataFrame, listing: DataFrame) -> DataFrame:
     """(path, found) of each distinct path."""
     return df.select("path").distinct().join(listing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").select("path", F.coalesce("there", F.lit(False)).alias("found"))
+
+
+def missing_metadata() -> Column:
+    """The first of commit_sha, reference and commit_time that is null or empty; null if an upload has them all."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    return F.coalesce(*[F.when(empty(c), F.lit(c)) for c in ("commit_sha", "reference", "commit_time")])

@@ -1,4 +1,4 @@
-"""Exports: JSON tables in parts, SARIF documents, coverage bundles, text tables."""
+"""Exports: JSON tables in numbered parts, SARIF results and rules, text tables."""
 
 from __future__ import annotations
 
@@ -19,6 +19,21 @@ def omit_long_text(df: DataFrame, columns: list[str], limit: int = MAX_TEXT) ->
     return df.withColumns({c: F.when(F.octet_length(c) > limit, note(c)).otherwise(F.col(c)) for c in columns})
 
 
+def part_files(placed: DataFrame, table: str) -> DataFrame:
+    """``file`` of each row of a table with ``position`` (from 1): parts of the table's size, numbered from 000."""
+    part = F.floor((F.col("position") - 1) / PART_ROWS[table]).cast("string")
+    width = F.greatest(F.length(part), F.lit(3))
+    return placed.withColumn("file", F.concat(F.lit(f"{table}-"), F.lpad(part, width, F.lit("0")), F.lit(".jsonl")))
+
+
+def write_parts(placed: DataFrame, path: str, table: str) -> None:
+    """JSON lines of a table with ``position``, one folder a numbered file; a part is one task's, however many there are."""
+    rows = part_files(placed, table)
+    body = F.to_json(F.struct(*[c for c in placed.columns if c != "position"]))
+    rows = rows.select("file", "position", body.alias("value")).repartition("file").sortWithinPartitions("file", "position")
+    rows.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def write_rows(df: DataFrame, path: str, table: str, compress: bool = False) -> None:
     """JSON lines in files of the table's part size."""
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS[table])
