@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 # Classes that count, and default thresholds of the structure rules.
 BRANCHES = ("if", "elsif", "conditional_assignment", "ternary", "case", "loop", "except", "try", "binary")
 CONTROLS = ("if", "ternary", "switch", "loop", "except")
@@ -144,6 +146,7 @@ def lcom4(nodes: DataFrame) -> DataFrame:
 def structure_issues(nodes: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
     """(path, rule_key, value, value_delta, effort_minutes) of the rules that fire; a threshold of None switches a rule off."""
     limits = {**THRESHOLDS, **(thresholds or {})}
+    nodes = stored(nodes, "nodes")  # read by every rule; sources are parsed once
     in_function = enclosing(innermost(nodes, "function", "_caller", "name"), "function", "function")
     values = {
         "boolean-logic": boolean_depth(nodes).select("path", F.col("depth").alias("value")),
@@ -175,7 +178,7 @@ def duplicates(nodes: DataFrame, min_mass: int = 64, min_lines: int = 15) -> Dat
     Groups of nodes with one structural digest and enough mass; digests that occur inside
     another group's node are dropped; a group is identical if its sources are.
     """
-    big = nodes.where(F.col("mass") >= min_mass)
+    big = stored(nodes.where(F.col("mass") >= min_mass), "big-nodes")
     sizes = big.groupBy("structural_hash").agg(F.count("*").alias("n"), (F.count_distinct("source_hash") == 1).alias("identical")).where("n > 1")
     members = big.join(sizes, "structural_hash")
     before = Window.partitionBy("path").orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
