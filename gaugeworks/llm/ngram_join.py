@@ -60,6 +60,8 @@ COMMON_SHARE, MATCH_COST = 0.02, 0.25
 BRIEF = 16
 #: Most members of an entry that one task compares at once; more are dealt in blocks.
 BLOCK_MEMBERS = 2048
+#: Pairs that a batch of blocks gathers before only the closest of two components are kept.
+CLOSEST_ROWS = 1 << 20
 FILTER_BITS = 1 << 24
 #: Slots of shingle counts: so many a row, within these bounds.
 SLOTS_A_ROW, SLOTS_LEAST, SLOTS_MOST = 16, 1 << 18, 1 << 24
@@ -422,8 +424,12 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame:
-    """(x, y, apart): pairs that share an entry, lie in different components and may link."""
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, rule: Rule, closest: bool) -> DataFrame:
+    """(x, y): pairs that share an entry, lie in different components and may link by their briefs.
+
+    With ``closest`` only the closest pair of each two components in an entry's block: no block
+    makes all its pairs, and every two components that may link are among them.
+    """
     rows = members
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -443,15 +449,15 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, ru
             whole = table.to_batches()[0] if table.num_rows else None
             if whole is None:
                 continue
-            rest, done = _groups(whole, rule, last=False)
+            rest, done = _groups(whole, rule, closest, last=False)
             yield from done
         if rest is not None and rest.num_rows:
-            yield from _groups(rest, rule, last=True)[1]
+            yield from _groups(rest, rule, closest, last=True)[1]
 
-    return _near(rows.mapInArrow(run, "x long, y long").distinct(), classes, rule)
+    return rows.mapInArrow(run, "x long, y long").distinct()
 
 
-def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
+def _groups(batch: pa.RecordBatch, rule: Rule, closest: bool, last: bool):
     """(rows of the group that may go on, results of the complete groups)."""
     marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
     edges = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
@@ -472,17 +478,28 @@ def _groups(batch: pa.RecordBatch, rule: Rule, last: bool):
         i, j = i[fits], j[fits]
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
         near = apart <= (n[j] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)
-        i, j = i[near], j[near]
+        i, j, apart = i[near], j[near], apart[near]
         if len(i):
-            out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i])))
+            out.append((np.minimum(key[j], key[i]), np.maximum(key[j], key[i]), np.minimum(label[j], label[i]), np.maximum(label[j], label[i]), ends[i], apart))
+        if closest and sum(len(c[0]) for c in out) > CLOSEST_ROWS:
+            out = [_closest(out)]
     rest = batch.slice(int(edges[stop])) if not last else None
     done = []
     if out:
-        x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+        x, y = (_closest(out) if closest else [np.concatenate(c) for c in zip(*out, strict=True)])[:2]
         done.append(pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
     return rest, done
 
 
+def _closest(found: list[tuple]) -> tuple:
+    """Of pairs (x, y, lesser label, greater label, group, apart) the closest of each group and two labels."""
+    x, y, lo, hi, group, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((y, x, apart, hi, lo, group))
+    marks = np.stack([group[order], lo[order], hi[order]])
+    first = order[np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(axis=0)])]
+    return tuple(c[first] for c in (x, y, lo, hi, group, apart))
+
+
 def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int, frequent: np.ndarray) -> DataFrame | None:
     """(node, label) of all classes that link with another, or None if none does."""
     sizes = classes.groupBy("n").agg(F.count("*").alias("c")).toPandas()  # as many rows as there are sizes
@@ -504,10 +521,26 @@ def link_classes(rows: DataFrame, classes: DataFrame, rule: Rule, total: int, fr
     tried = materialize(tried, "tried")
     links = verify(tried, rows, classes, rule)
     labels = None if links.isEmpty() else components(links)
-    # what may still link across components: closest pairs first, then all
-    pairs = _across(members.select("entry", "key"), classes, labels, rule).join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    # what may still link across components: the closest pairs first; then, between components
+    # that these leave apart, all pairs, again the closest first
+    skip = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    seen = materialize(_across(members, classes, labels, rule, True), "pairs")
+    labels = _settle(_near(seen.join(skip, ["x", "y"], "left_anti"), classes, rule), rows, classes, labels, rule)
+    apart = materialize(_labelled(seen, labels).select(F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly")).distinct(), "apart")
+    if not apart.isEmpty():
+        ends = apart.select(F.col("lx").alias("l")).union(apart.select("ly")).distinct()
+        inside = members if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left")
+        inside = inside.withColumn("l", F.col("key") if labels is None else F.coalesce("label", "key")).join(ends, "l", "left_semi").select("entry", "key")
+        pairs = _labelled(_across(inside, classes, labels, rule, False).join(skip, ["x", "y"], "left_anti"), labels)
+        pairs = pairs.select("x", "y", F.least("lx", "ly").alias("lx"), F.greatest("lx", "ly").alias("ly")).join(apart, ["lx", "ly"], "left_semi")
+        labels = _settle(_near(pairs.select("x", "y"), classes, rule), rows, classes, labels, rule)
+    release(members, tried, seen, apart)
+    return labels
+
+
+def _settle(pairs: DataFrame, rows: DataFrame, classes: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame | None:
+    """Labels after the links among ``pairs``: the closest of each two components first, then all."""
     pairs = materialize(pairs, "pairs")
-    release(members, tried)
     for k in range(3):
         if pairs.isEmpty():
             break
