@@ -11,7 +11,8 @@ functions bound the bins a partition needs; where the bound is met, the partitio
 certified and only its emptiest bin goes on, else (a gap) all its bins that aren't
 full do. What goes on is dealt into new partitions, so documents of different
 partitions meet, and best-fit decreasing runs again; the fewer bins stay. Rounds end
-when one partition holds all that is left.
+when one partition holds all that is left, or when a round over several partitions needs as
+many bins as before; there is no other limit to their number.
 
 Defined cases: null text is empty text (one end token); repeated rows are packed one
 by one; equal lengths go by row number; an empty table gives no rows; other columns
@@ -33,7 +34,6 @@ from .common import BLOCK_BYTES, IdCache, blocks, id_type, materialize, mix, pow
 
 END = 0
 PART_ITEMS = 1 << 16
-MAX_ROUNDS = 8
 
 # ------------------------------------------------------------------ tokenising
 
@@ -258,8 +258,9 @@ def pack(found: DataFrame, limit: int) -> DataFrame:
     found = materialize(found, "pieces")
     whole = found.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = found.where(F.col("length") < limit).select("item", "length", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    placed = []
-    for k in range(1, MAX_ROUNDS + 1):
+    placed, k, before = [], 0, None
+    while True:
+        k += 1
         n = left.count()
         groups = max(1, -(-n // PART_ITEMS))
         # all pieces of a bin move together, so the old packing can stay if it is better
@@ -270,13 +271,14 @@ def pack(found: DataFrame, limit: int) -> DataFrame:
             return repack(pdf, limit)[["item", "length", "part", "seq", "offset", "open"]]
 
         done = dealt.groupBy("part").applyInPandas(run, "item long, length long, part long, seq long, offset long, open boolean")
-        number = F.lit(k << 58) + F.col("part") * F.lit(1 << 20) + F.col("seq")
+        number = F.lit(k << 48) + F.col("part") * F.lit(1 << 20) + F.col("seq")
         done = materialize(done.select("item", "length", number.alias("bin"), "offset", "open"), "bins")
-        final = groups == 1 or k == MAX_ROUNDS
+        final = groups == 1 or (before is not None and done.select("bin").distinct().count() >= before)
         placed.append((done if final else done.where(~F.col("open"))).select("item", F.col("bin").alias("sequence_id"), "offset"))
         if final:
             break
         left = done.where("open").select("item", "length", "bin", "offset")
+        before = left.select("bin").distinct().count()
     for part in placed:
         whole = whole.unionByName(part)
     return found.join(whole, "item").drop("item")
