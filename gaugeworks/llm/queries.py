@@ -1,11 +1,11 @@
-"""The ten corpus operators as queries over ``documents``, with SQL where SQL can say it."""
+"""The corpus operators as queries over ``documents``, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, lines, lm, media, ngram_join, packing, pieces, secrets, shards
+from . import align, exact, fim, langid, lines, lm, media, mixing, ngram_join, packing, pieces, secrets, shards
 from .common import documents, remainder, vocabulary_path
 
 
@@ -100,6 +100,55 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), "doc_id", "text", vocabulary_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op4_line_dedup": op4_line_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_sentencepiece": op9_sentencepiece, "op10_best_fit_packing": op10_best_fit_packing}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(documents(spark, sf_dir), "doc_id", "text"))
+    hashes = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select(F.col("id").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *hashes)
 
-ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.align(documents(spark, sf_dir), "doc_id", "text", vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(documents(spark, sf_dir), "doc_id", "text", "source")
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT source, sum(size) AS z, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, z, [5, 2, 1][1 + (k - 1) % 3] AS w FROM s),
+-- with the sources that end at their cap first, the price of a weight is the first that the next source can bear
+o AS (SELECT *, 3 * z / w AS ratio, row_number() OVER (ORDER BY 3 * z / w, source) AS r FROM w),
+c AS (SELECT *, sum(z) OVER () - coalesce(sum(3 * z) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM o),
+price AS (SELECT p, q FROM c WHERE w * p <= 3 * z * q ORDER BY r LIMIT 1),
+t AS (SELECT source, z, CASE WHEN w * p > 3 * z * q THEN CAST(3 * z AS DOUBLE) ELSE CAST(w * p AS DOUBLE) / CAST(q AS DOUBLE) END AS target FROM w, price),
+g AS (SELECT source, z, target, CASE WHEN z > 0 THEN CAST(floor(target / z) AS BIGINT) ELSE 0 END AS k FROM t),
+m AS (SELECT d.*, g.z, g.target, g.k, g.target - g.k * g.z AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(z AS BIGINT) AS source_size, target,
+    CAST(size * (k + CASE WHEN before < rest AND (before + size <= rest OR before + size - rest <= rest - before) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM m
+"""
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op4_line_dedup": op4_line_dedup, "op5_interpolated_lm": op5_interpolated_lm, "op6_audio_columns": op6_audio_columns, "op7_jump_sharding": op7_jump_sharding, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_sentencepiece": op9_sentencepiece, "op10_best_fit_packing": op10_best_fit_packing, "op11_fill_in_middle": op11_fill_in_middle, "op12_tokenizer_alignment": op12_tokenizer_alignment, "op13_source_mixing": op13_source_mixing}
+
+ORACLES = {"op2_secret_scan": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op11_fill_in_middle": OP11_SQL, "op13_source_mixing": OP13_SQL}
