@@ -16,10 +16,16 @@ from ..storage import stored
 BRANCHES = ("if", "elsif", "conditional_assignment", "ternary", "case", "loop", "except", "try", "binary")
 CONTROLS = ("if", "ternary", "switch", "loop", "except")
 THRESHOLDS = {"boolean-logic": 4, "file-complexity": 50, "function-complexity": 18, "nested-control-flow": 5, "function-parameters": 6, "return-statements": 6}
+#: Levels of a tree that metrics look at.
+VISITED = 300
 ITERATORS = ("filter", "map", "any", "all")
 EFFORT = {"boolean-logic": (10, 12), "file-complexity": (50, 20), "function-complexity": (10, 5), "nested-control-flow": (15, 10), "function-parameters": (15, 2), "return-statements": (15, 5)}
 
 
+def visited(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("depth") <= VISITED)
+
+
 def nesting(nodes: DataFrame, classes, name: str, keys=("path",)) -> DataFrame:
     """``name``: how many ancestors of a node are of ``classes`` (or fulfil that condition); one sort a file, no self-join."""
     events = nodes.withColumn("_at", F.explode(F.array("enter", "leave")))
@@ -59,7 +65,7 @@ def enclosing(nodes: DataFrame, cls: str, name: str) -> DataFrame:
 def cyclomatic(nodes: DataFrame, *keys: str) -> DataFrame:
     """1 and one for each branch and each call of an iterator method."""
     called = (F.col("class") == "call") & F.col("name").isin(*ITERATORS)
-    return nodes.groupBy(*(keys or ("path",))).agg((F.count_if(F.col("class").isin(*BRANCHES) | called) + 1).alias("cyclomatic"))
+    return visited(nodes).groupBy(*(keys or ("path",))).agg((F.count_if(F.col("class").isin(*BRANCHES) | called) + 1).alias("cyclomatic"))
 
 
 def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -71,28 +77,36 @@ def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
     that only makes and returns one isn't counted as a function that others are inside of.
     """
     keys = keys or ("path",)
+    rows = visited(nodes).select(*keys, "enter", "leave", "class", "name", "note", "caller").withColumn("_at", F.explode(F.array("enter", "leave")))
+    opens = F.col("_at") == F.col("enter")
+    step = F.when(opens, 1).otherwise(-1)
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one sort for all sums
+
+    def running(condition):
+        return F.coalesce(F.sum(F.when(condition, step).otherwise(0)).over(before), F.lit(0))
+
+    kind = F.coalesce("class", F.lit(""))
     decorator = F.coalesce(F.col("note") == "decorator", F.lit(False))
-    function = F.col("class") == "function"
-    rows = nodes if "_caller" in nodes.columns else innermost(nodes, "function", "_caller", "name")
-    rows = nesting(rows, function & ~decorator, "_outer", keys)
-    nests = F.col("class").isin(*CONTROLS, "closure") | (function & (F.col("_outer") >= F.when(decorator, 2).otherwise(1)))
-    rows = nesting(rows, nests, "_nest", keys)
-    before = Window.partitionBy(*keys).orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("class") == "operator", F.col("name")), ignorenulls=True).over(before)
-    changes = (F.col("class") == "operator") & ~F.col("name").eqNullSafe(F.col("_last"))
-    recursive = (F.col("class") == "call") & (F.col("note") == "self") & (F.col("name") == F.col("_caller"))
-    flat = F.col("class").isin("else", "elsif", "jump", "conditional_assignment") | changes | recursive
-    cost = F.when(F.col("class").isin(*CONTROLS), 1 + F.col("_nest")).when(flat, 1).otherwise(0)
-    return rows.withColumn("_last", last).groupBy(*keys).agg(F.sum(cost).cast("bigint").alias("complexity"))
+    function, control = kind == "function", kind.isin(*CONTROLS)
+    counted = function & ~decorator
+    rows = rows.withColumn("_outer", running(counted) - F.when(~opens & counted, 1).otherwise(0))
+    nests = control | (kind == "closure") | (function & (F.col("_outer") >= F.when(decorator, 2).otherwise(1)))
+    last = F.last(F.when(opens & (kind == "operator"), F.col("name")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_nest", running(nests)).withColumn("_last", last).where(opens)
+    changes = (kind == "operator") & ~F.col("name").eqNullSafe(F.col("_last"))
+    recursive = (kind == "call") & F.col("note").eqNullSafe("self") & F.coalesce(F.col("name") == F.col("caller"), F.lit(False))
+    flat = kind.isin("else", "elsif", "jump", "conditional_assignment") | changes | recursive
+    cost = F.when(control, 1 + F.col("_nest")).when(flat, 1).otherwise(0)
+    return rows.groupBy(*keys).agg(F.sum(cost).cast("bigint").alias("complexity"))
 
 
 def boolean_depth(nodes: DataFrame) -> DataFrame:
     """(path, depth): how deep boolean operators nest."""
-    return nesting(nodes, ["binary"], "_b").where("class = 'binary'").groupBy("path").agg(F.max(F.col("_b") + 1).cast("bigint").alias("depth"))
+    return nesting(visited(nodes), ["binary"], "_b").where("class = 'binary'").groupBy("path").agg(F.max(F.col("_b") + 1).cast("bigint").alias("depth"))
 
 
 def control_depth(nodes: DataFrame) -> DataFrame:
-    return nesting(nodes, CONTROLS, "_c").where(F.col("class").isin(*CONTROLS)).groupBy("path").agg(F.max(F.col("_c") + 1).cast("bigint").alias("depth"))
+    return nesting(visited(nodes), CONTROLS, "_c").where(F.col("class").isin(*CONTROLS)).groupBy("path").agg(F.max(F.col("_c") + 1).cast("bigint").alias("depth"))
 
 
 def counts(nodes: DataFrame) -> DataFrame:
@@ -147,7 +161,7 @@ def structure_issues(nodes: DataFrame, thresholds: dict[str, int] | None = None)
     """(path, rule_key, value, value_delta, effort_minutes) of the rules that fire; a threshold of None switches a rule off."""
     limits = {**THRESHOLDS, **(thresholds or {})}
     nodes = stored(nodes, "nodes")  # read by every rule; sources are parsed once
-    in_function = enclosing(innermost(nodes, "function", "_caller", "name"), "function", "function")
+    in_function = enclosing(nodes, "function", "function")
     values = {
         "boolean-logic": boolean_depth(nodes).select("path", F.col("depth").alias("value")),
         "nested-control-flow": control_depth(nodes).select("path", F.col("depth").alias("value")),

@@ -19,7 +19,7 @@ def sources(t):
 
 
 def python(t):
-    return nodes(sources(t), "python")
+    return nodes(sources(t), "python", digests=False)
 
 
 P = "SELECT 'p' || p_partkey || '.py' AS path"
@@ -83,7 +83,7 @@ def j04(t):
   g AS (SELECT *, count(*) OVER (PARTITION BY r, d, a) AS n FROM f) SELECT path, n FROM g WHERE n > 1 AND r > 0""")
 def d07(t):
     """Occurrences of code found more than once (whole files here)."""
-    rows = trees.duplicates(python(t).where("kind = 'Module'").withColumn("end_line", F.lit(20)), min_mass=8, min_lines=1)
+    rows = trees.duplicates(nodes(sources(t), "python").where("kind = 'Module'").withColumn("end_line", F.lit(20)), min_mass=8, min_lines=1)
     made = sources(t).where("contents LIKE '%return%'").select("path")
     return rows.join(made, "path", "left_semi").select("path", "n")
 

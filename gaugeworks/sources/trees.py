@@ -1,14 +1,18 @@
 """Syntax trees as node tables: Python by ``ast``, HTML by ``html.parser``.
 
 One row a node with Euler-tour positions (``enter`` < ``leave``); an ancestor's interval
-holds its descendants'. Parsing is the only Python step; all metrics are DataFrame
-operators on the table. Sources that don't parse give no rows.
+holds its descendants'. ``position`` numbers a node among its siblings, ``field`` is the
+parent's name for it, bytes are offsets into the UTF-8 source (Python only), ``caller`` is the
+name of the innermost function that holds the node, itself included. Parsing is the only
+Python step; all metrics are DataFrame operators on the table. Sources that don't parse, and
+null ones, give no rows; what is deeper than ``MAX_DEPTH`` levels is left out.
 """
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,40 +20,47 @@ from pyspark.sql import DataFrame
 
 NODES = (
     "path string, lang string, enter int, leave int, parent int, depth int, kind string, class string, name string, "
-    "start_line int, end_line int, mass int, structural_hash string, source_hash string, note string"
+    "start_line int, end_line int, mass int, structural_hash string, source_hash string, note string, "
+    "field string, position int, start_byte int, end_byte int, caller string"
 )
-MAX_DEPTH = 300
+#: Levels of a tree that are built; metrics look at fewer (``operators.trees.VISITED``).
+MAX_DEPTH = 1024
 #: Nodes after which a worker hands on its rows, so memory doesn't follow the number of files.
 BATCH_ROWS = 1 << 15
 
 # Classes of Python node kinds.
 PYTHON_CLASSES = {
     "If": "if", "IfExp": "ternary", "Match": "switch", "match_case": "case", "For": "loop", "AsyncFor": "loop", "While": "loop",
-    "Else": "else", "Operator": "operator", "ExceptHandler": "except", "Try": "try", "TryStar": "try", "Break": "jump", "Continue": "jump", "Return": "return", "BoolOp": "binary",
+    "Else": "else", "Operator": "operator", "ExceptHandler": "except", "Break": "jump", "Continue": "jump", "Return": "return", "BoolOp": "binary",
     "Attribute": "field", "Call": "call", "FunctionDef": "function", "AsyncFunctionDef": "function", "Lambda": "closure", "ClassDef": "class",
 }
 
 
 class _Tree:
-    """Rows of one file, built in pre-order; masses and digests are filled in on leaving."""
+    """Rows of one file, built in pre-order; masses, digests and missing byte ranges are filled in on leaving."""
 
-    def __init__(self, path: str, lang: str, lines: list[str]):
-        self.path, self.lang, self.lines, self.rows, self.at = path, lang, lines, [], 0
+    def __init__(self, path: str, lang: str, lines: list[str], digests: bool):
+        self.path, self.lang, self.lines, self.digests, self.rows, self.at = path, lang, lines, digests, [], 0
 
-    def add(self, kind, cls, name, first, last, parent, depth):
-        self.rows.append([self.path, self.lang, self.at, -1, parent, depth, kind, cls, name, first, last, 1, "", "", None])
+    def add(self, kind, cls, name, first, last, parent, depth, note=None, field=None, position=0, span=(None, None), caller=None):
+        self.rows.append([self.path, self.lang, self.at, -1, parent, depth, kind, cls, name, first, last, 1, None, None, note, field, position, *span, caller])
         self.at += 1
         return len(self.rows) - 1
 
     def close(self, i, children):
         row = self.rows[i]
-        row[3], self.at = self.at, self.at + 1
-        digest = hashlib.md5(row[6].encode())
-        for c in children:
-            row[11] += self.rows[c][11]
-            digest.update(bytes.fromhex(self.rows[c][12]))
-        row[12] = digest.hexdigest()
-        row[13] = hashlib.md5("\n".join(x.strip() for x in self.lines[row[9] - 1 : row[10]]).encode()).hexdigest()
+        row[LEAVE], self.at = self.at, self.at + 1
+        row[MASS] += sum(self.rows[c][MASS] for c in children)
+        if self.digests:
+            digest = hashlib.md5(row[KIND].encode())
+            for c in children:
+                digest.update(bytes.fromhex(self.rows[c][STRUCTURE]))
+            row[STRUCTURE] = digest.hexdigest()
+            row[SOURCE] = hashlib.md5("\n".join(x.strip() for x in self.lines[row[FIRST] - 1 : row[LAST]]).encode()).hexdigest()
+
+
+NAMES = [c.split()[0] for c in NODES.split(", ")]
+LEAVE, KIND, FIRST, LAST, MASS, STRUCTURE, SOURCE, START, END = (NAMES.index(c) for c in ("leave", "kind", "start_line", "end_line", "mass", "structural_hash", "source_hash", "start_byte", "end_byte"))
 
 
 class Else(ast.stmt):
@@ -77,18 +88,22 @@ def _is_elif(node: ast.AST, above: ast.AST | None) -> bool:
 
 
 def _parts(node: ast.AST):
-    """Child nodes in the order of the source, else clauses as nodes, operators of one kind nested to the left."""
+    """(field, child) in the order of the source, else clauses as nodes, operators of one kind nested to the left."""
     if isinstance(node, ast.BoolOp):
         left, right = node.values[:-1], node.values[-1]
-        yield left[0] if len(left) == 1 else _made(ast.BoolOp, op=node.op, values=left, lineno=left[0].lineno, end_lineno=left[-1].end_lineno)
-        yield _made(Operator, name=type(node.op).__name__.lower(), lineno=right.lineno, end_lineno=right.lineno)
-        yield right
+        yield "left", left[0] if len(left) == 1 else _made(ast.BoolOp, op=node.op, values=left, lineno=left[0].lineno, end_lineno=left[-1].end_lineno, col_offset=left[0].col_offset, end_col_offset=left[-1].end_col_offset)
+        yield "operator", _made(Operator, name=type(node.op).__name__.lower(), lineno=right.lineno, end_lineno=right.lineno)
+        yield "right", right
         return
     for field, value in ast.iter_fields(node):
         if field == "orelse" and isinstance(value, list) and value and not _is_elif(value[0], node):
-            yield _made(Else, body=value, lineno=value[0].lineno, end_lineno=value[-1].end_lineno)
+            yield field, _made(Else, body=value, lineno=value[0].lineno, end_lineno=value[-1].end_lineno)
         else:
-            yield from (x for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST))
+            yield from ((field, x) for x in (value if isinstance(value, list) else [value]) if isinstance(x, ast.AST) and not isinstance(x, UNNAMED))
+
+
+#: Parts of expressions that make no node.
+UNNAMED = (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)
 
 
 def _note(node: ast.AST) -> tuple[str | None, str | None]:
@@ -106,92 +121,136 @@ def _note(node: ast.AST) -> tuple[str | None, str | None]:
     return (name if isinstance(name, str) else None), None
 
 
-def python_nodes(path: str, text: str) -> list[list]:
+def _line_starts(text: str) -> list[int]:
+    """Byte offset of each line, as the parser counts lines."""
+    return [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", text.encode("utf-8", "surrogatepass")))]
+
+
+def python_nodes(path: str, text: str, digests: bool = True) -> list[list]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    out = _Tree(path, "python", text.split("\n"))
+    out, starts = _Tree(path, "python", text.split("\n"), digests), _line_starts(text)
+
+    def span(node):
+        if getattr(node, "col_offset", None) is None:
+            return None, None
+        return starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
 
-    def walk(node, parent, depth, inside):
-        kind = type(node).__name__
-        cls = "elsif" if _is_elif(node, inside) else PYTHON_CLASSES.get(kind)
+    def enter(node, field, above):
+        """A frame of the walk: row, node, parts to come, rows of children that have mass, depth, caller."""
+        inside, parent, depth, caller = (None, None, 0, None) if above is None else (above[1], out.rows[above[0]][2], above[4] + 1, above[5])
         name, note = _note(node)
         if isinstance(inside, ast.Call) and inside.func is node:
             note = "called"
-        i = out.add(kind, cls, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), parent, depth)
-        out.rows[i][14] = note
-        children = []
-        if depth < MAX_DEPTH:
-            for child in _parts(node):
-                if not isinstance(child, (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)):
-                    made = walk(child, out.rows[i][2], depth + 1, node)
-                    if not isinstance(child, Operator):
-                        children.append(made)
+        cls = "elsif" if _is_elif(node, inside) else PYTHON_CLASSES.get(type(node).__name__)
+        caller = name if cls == "function" else caller
+        place = 0 if above is None else above[6]
+        i = out.add(type(node).__name__, cls, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), parent, depth, note, field, place, span(node), caller)
+        if above is not None:
+            above[6] += 1
+        return [i, node, _parts(node) if depth < MAX_DEPTH else iter(()), [], depth, caller, 0]
+
+    stack = [enter(tree, None, None)]
+    out.rows[0][START], out.rows[0][END] = 0, len(text.encode("utf-8", "surrogatepass"))
+    while stack:
+        top = stack[-1]
+        field, child = next(top[2], (None, None))
+        if child is not None:
+            stack.append(enter(child, field, top))
+            continue
+        stack.pop()
+        i, node, _, children, *_ = top
         out.close(i, children)
+        row = out.rows[i]
+        if row[START] is None:  # what has no place of its own spans its children
+            inner = [(out.rows[c][START], out.rows[c][END]) for c in children]
+            here = out.rows[stack[-1][0]][START] or 0  # or, without children, stands where its parent begins
+            row[START], row[END] = (min(a for a, _ in inner), max(b for _, b in inner)) if inner else (here, here)
         if isinstance(node, Operator):
-            out.rows[i][11] = 0
-        return i
-
-    walk(tree, None, 0, None)
+            row[MASS] = 0
+        elif stack:
+            stack[-1][3].append(i)
     return out.rows
 
 
 class _Html(HTMLParser):
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, path: str, text: str):
+    # Elements that the start tag of an element ends, where their own end tags may be left out.
+    BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+    ENDS = {
+        **dict.fromkeys(BLOCKS, ("p",)), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
+        "tr": ("tr", "td", "th", "p"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "option": ("option",), "optgroup": ("option", "optgroup"),
+    }
+
+    def __init__(self, path: str, text: str, digests: bool = True):
         super().__init__(convert_charrefs=True)
-        self.out = _Tree(path, "html", text.split("\n"))
-        self.stack = [(self.out.add("document", None, None, 1, text.count("\n") + 1, None, 0), [])]
+        lines = text.split("\n")
+        self.out = _Tree(path, "html", lines, digests)
+        self.stack = [(self.out.add("document", None, None, 1, len(lines), None, 0), [])]
+        self.beyond: list[str] = []  # open tags below the last level that is built
         self.feed(text)
         while self.stack:
-            self._pop(text.count("\n") + 1)
+            self._pop(len(lines))
 
     def _pop(self, line):
         i, children = self.stack.pop()
-        self.out.rows[i][10] = line
+        self.out.rows[i][LAST] = line
         self.out.close(i, children)
         if self.stack:
             self.stack[-1][1].append(i)
 
+    def _kind(self):
+        return self.out.rows[self.stack[-1][0]][KIND]
+
     def handle_starttag(self, tag, attrs):
-        if len(self.stack) >= MAX_DEPTH:
+        line = self.getpos()[0]
+        if not self.beyond:
+            while len(self.stack) > 1 and self._kind() in self.ENDS.get(tag, ()):
+                self._pop(line)
+        if self.beyond or len(self.stack) >= MAX_DEPTH:
+            if tag not in self.VOID:
+                self.beyond.append(tag)
             return
-        parent = self.out.rows[self.stack[-1][0]][2]
-        self.stack.append((self.out.add(tag, None, None, self.getpos()[0], self.getpos()[0], parent, len(self.stack)), []))
+        above, beside = self.stack[-1]
+        self.stack.append((self.out.add(tag, None, None, line, line, self.out.rows[above][2], len(self.stack), position=len(beside)), []))
         if tag in self.VOID:
-            self._pop(self.getpos()[0])
+            self._pop(line)
 
     def handle_endtag(self, tag):
-        if any(self.out.rows[i][6] == tag for i, _ in self.stack[1:]):
-            while self.out.rows[self.stack[-1][0]][6] != tag:
-                self._pop(self.getpos()[0])
-            self._pop(self.getpos()[0])
+        line = self.getpos()[0]
+        if tag in self.beyond:
+            while self.beyond.pop() != tag:
+                pass
+        elif any(self.out.rows[i][KIND] == tag for i, _ in self.stack[1:]):
+            self.beyond.clear()
+            while self._kind() != tag:
+                self._pop(line)
+            self._pop(line)
 
 
-def html_nodes(path: str, text: str) -> list[list]:
-    return _Html(path, text).out.rows
+def html_nodes(path: str, text: str, digests: bool = True) -> list[list]:
+    return _Html(path, text, digests).out.rows
 
 
 PARSERS = {"python": python_nodes, "html": html_nodes}
 
 
-def nodes(files: DataFrame, lang: str) -> DataFrame:
-    """Node table of (path, contents)."""
+def nodes(files: DataFrame, lang: str, digests: bool = True) -> DataFrame:
+    """Node table of (path, contents); without ``digests`` (which duplication needs) parsing is faster."""
     parser = PARSERS[lang]
-    names = [c.split()[0] for c in NODES.split(", ")]
+    whole = ("parent", "enter", "leave", "depth", "start_line", "end_line", "mass", "position", "start_byte", "end_byte")
 
     def table(rows):
-        made = pd.DataFrame(rows, columns=names)
-        return made.astype({"parent": "Int32", "enter": "int32", "leave": "int32", "depth": "int32", "start_line": "int32", "end_line": "int32", "mass": "int32"})
+        return pd.DataFrame(rows, columns=NAMES).astype(dict.fromkeys(whole, "Int32"))
 
     def run(frames):
         for frame in frames:
             rows = []
             for p, t in zip(frame["path"], frame["contents"], strict=True):
                 if isinstance(t, str):
-                    rows += parser(p, t)
+                    rows += parser(p, t, digests)
                 if len(rows) >= BATCH_ROWS:
                     yield table(rows)
                     rows = []
