@@ -3,10 +3,16 @@
 A line has code if a token other than a comment is on it, all lines of a string included;
 a line without code but with a comment is a comment; the rest is blank. Functions count the
 lines from their first to their last; nested functions are rows of their own and count in
-the outer one too.
+the outer one too. What ``excluded`` patterns capture (test code, say) counts nowhere but in
+the total of lines: its lines are blank, its functions have no rows.
+
+Files are told apart by a number of their own, so a path may occur more than once, or be
+null. Lines before and inside functions are counted by one sweep a file over token marks and
+the ends of functions, not by a join on ranges.
 
 Defined cases: null contents give no rows; a source that doesn't parse has lines but no
-counts (null); an empty file has one blank line; functions of equal names are separate rows.
+counts (null); an empty file has no line; lines end at line feeds only; functions of equal
+names are separate rows.
 """
 
 from __future__ import annotations
@@ -15,45 +21,63 @@ import io
 import tokenize
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.trees import nodes
 from ..storage import stored
-from . import trees
+from . import patterns, trees
 
 SKIPPED = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING)
 LINES = ("lines", "code_lines", "comment_lines", "blank_lines")
 
 
+def token_marks(text: str) -> list[tuple[int, int, int, bool]]:
+    """(line, first byte, byte after, comment) of each token on each of its lines."""
+    rows = text.split("\n")
+    starts = [0]
+    for row in rows:
+        starts.append(starts[-1] + len(row.encode("utf-8", "surrogatepass")) + 1)
+
+    def at(line, column):
+        return starts[line - 1] + len(rows[line - 1][:column].encode("utf-8", "surrogatepass"))
+
+    try:
+        tokens = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in SKIPPED]
+        return [(line, at(*t.start), at(*t.end), t.type == tokenize.COMMENT) for t in tokens for line in range(t.start[0], min(t.end[0], len(rows)) + 1)]
+    except (tokenize.TokenError, SyntaxError, IndexError):  # by their look
+        return [(k, starts[k - 1], starts[k] - 1, x.strip().startswith("#")) for k, x in enumerate(rows, 1) if x.strip()]
+
+
 def line_kinds(text: str) -> list[str]:
     """'code', 'comment' or 'blank' for each line."""
-    rows = text.splitlines() or [""]
-    kinds = ["blank"] * len(rows)
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(text).readline):
-            if t.type in SKIPPED:
-                continue
-            for i in range(t.start[0] - 1, min(t.end[0], len(rows))):
-                if t.type != tokenize.COMMENT:
-                    kinds[i] = "code"
-                elif kinds[i] == "blank":
-                    kinds[i] = "comment"
-    except (tokenize.TokenError, SyntaxError):  # the rest by its look
-        kinds = ["blank" if not x.strip() else "comment" if x.strip().startswith("#") else "code" for x in rows]
+    count = text.count("\n") + (text != "" and not text.endswith("\n"))
+    kinds = ["blank"] * count
+    for line, _, _, comment in token_marks(text):
+        if not comment:
+            kinds[line - 1] = "code"
+        elif kinds[line - 1] == "blank":
+            kinds[line - 1] = "comment"
     return kinds
 
 
-def _running(files: DataFrame) -> DataFrame:
-    """(path, line, code, comment): how many lines up to each have code, and how many are comments."""
+def _marks(files: DataFrame, ranges: DataFrame | None) -> DataFrame:
+    """(path, line, code, comment): marked lines, without what lies in ``ranges``."""
+    whole = ranges is not None
 
     def run(frames):
         for frame in frames:
             for path, text in zip(frame["path"], frame["contents"], strict=True):
-                kinds = pd.Series(line_kinds(text))
-                yield pd.DataFrame({"path": path, "line": range(1, len(kinds) + 1), "code": (kinds == "code").cumsum(), "comment": (kinds == "comment").cumsum()})
+                marks = pd.DataFrame(token_marks(text), columns=["line", "start_byte", "end_byte", "comment"])
+                if not whole:
+                    marks = marks.drop_duplicates(["line", "comment"])
+                yield marks.assign(path=path)
 
-    return files.where("contents IS NOT NULL").select("path", "contents").mapInPandas(run, "path string, line int, code long, comment long")
+    rows = files.where("contents IS NOT NULL").select("path", "contents").mapInPandas(run, "path string, line int, start_byte int, end_byte int, comment boolean")
+    if whole:
+        rows = patterns.exclude(rows, ranges)
+    code = F.max((~F.col("comment")).cast("int"))
+    return rows.groupBy("path", "line").agg(code.alias("code"), (1 - code).alias("comment"))
 
 
 def _lines(total, code, comment) -> list:
@@ -61,42 +85,66 @@ def _lines(total, code, comment) -> list:
     return [v.cast("bigint").alias(n) for v, n in zip(values, LINES, strict=True)]
 
 
-def file_stats(files: DataFrame) -> DataFrame:
-    """(kind, fully_qualified_name, path, files, classes, functions, fields, cyclomatic, complexity, lcom4, lines ...) of each file."""
-    tree = stored(nodes(files, "python"), "nodes")
-    last = _running(files).groupBy("path").agg(F.max("line").alias("n"), F.max("code").alias("code"), F.max("comment").alias("comment"))
-    rows = last.select("path", *_lines(F.col("n"), F.col("code"), F.col("comment")))
+def _prepared(files: DataFrame, excluded: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files by number (``path``) with their own path (``named``), their nodes, all nodes, and line marks; without what is excluded."""
+    keyed = files.where("contents IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("path"), F.col("path").alias("named"), "contents")
+    keyed = stored(keyed, "stats-files")
+    whole = stored(nodes(keyed, "python", digests=False), "stats-nodes")
+    if not excluded:
+        return keyed, whole, whole, _marks(keyed, None)
+    ranges = stored(patterns.all_captured(stored(patterns.pattern_nodes(whole, keyed), "pattern-nodes"), excluded), "stats-ranges")
+    return keyed, stored(patterns.exclude(whole, ranges), "stats-kept"), whole, _marks(keyed, ranges)
+
+
+def file_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(kind, fully_qualified_name, path, files, classes, functions, fields, cyclomatic, complexity, lcom4, lines ...) of each file.
+
+    A file's counts are null only if it doesn't parse; one whose nodes are all excluded has none of each.
+    """
+    keyed, tree, whole, marks = _prepared(files, excluded or [])
+    text = F.col("contents")
+    total = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + ((text != "") & ~text.endswith("\n")).cast("int")
+    rows = keyed.select("path", "named", total.alias("n")).join(marks.groupBy("path").agg(F.sum("code").alias("code"), F.sum("comment").alias("comment")), "path", "left")
+    rows = rows.select("path", "named", *_lines(F.col("n"), F.coalesce("code", F.lit(0)), F.coalesce("comment", F.lit(0))))
+    rows = rows.join(whole.where("parent IS NULL").select("path", F.lit(0).cast("bigint").alias("parsed")), "path", "left")
     for part in (trees.counts(tree), trees.cyclomatic(tree), trees.cognitive(tree), trees.lcom4(tree)):
         rows = rows.join(part, "path", "left")
-    lcom4 = F.when(F.col("classes").isNotNull(), F.coalesce("lcom4", F.lit(0).cast("bigint")))
-    return rows.select(F.lit("FILE").alias("kind"), F.col("path").alias("fully_qualified_name"), "path", F.lit(1).cast("bigint").alias("files"), "classes", "functions", "fields", "cyclomatic", "complexity", lcom4.alias("lcom4"), *LINES)
+    # a file that parses has its own minimum of each even if all of it is excluded
+    counts = [F.coalesce(c, F.col("parsed") + (1 if c == "cyclomatic" else 0)).alias(c) for c in ("classes", "functions", "fields", "cyclomatic", "complexity", "lcom4")]
+    return rows.select(F.lit("FILE").alias("kind"), F.col("named").alias("fully_qualified_name"), F.col("named").alias("path"), F.lit(1).cast("bigint").alias("files"), *counts, *LINES)
+
+
+def _lines_within(functions: DataFrame, marks: DataFrame) -> DataFrame:
+    """(path, function, code, comment) between the lines of each function, by one sweep a file."""
+    ends = [functions.select("path", "function", line.alias("line"), F.lit(side).alias("side"), F.lit(0).alias("code"), F.lit(0).alias("comment")) for side, line in ((-1, F.col("start_line")), (1, F.col("end_line")))]
+    own = marks.select("path", F.lit(None).cast("int").alias("function"), "line", F.lit(0).alias("side"), "code", "comment")
+    so_far = Window.partitionBy("path").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = own.unionByName(ends[0]).unionByName(ends[1]).select("path", "function", "side", F.sum("code").over(so_far).alias("code"), F.sum("comment").over(so_far).alias("comment"))
+    return swept.where("side <> 0").groupBy("path", "function").agg(*[F.sum(F.col("side") * F.col(c)).alias(c) for c in ("code", "comment")])
 
 
-def function_stats(files: DataFrame) -> DataFrame:
+def function_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """(kind, name, fully_qualified_name, path, start_line, fields, cyclomatic, complexity, lines ...) of each function.
 
     The name is qualified by the innermost class that holds the function, with ``#`` if its first parameter is self.
     """
-    tree = stored(nodes(files, "python"), "nodes")
-    named = trees.innermost(tree, "class", "owner", "name")
-    first = tree.where("kind = 'arguments'").select("path", F.col("enter").alias("up"), F.col("parent").alias("function"))
-    args = tree.where("kind = 'arg'").select("path", F.col("parent").alias("up"), "enter", "name")
+    keyed, tree, whole, marks = _prepared(files, excluded or [])
+    owners = trees.innermost(whole, "class", "owner", "name").where("class = 'function'").select("path", F.col("enter").alias("function"), "owner")
+    first = whole.where("kind = 'arguments'").select("path", F.col("enter").alias("up"), F.col("parent").alias("function"))
+    args = whole.where("kind = 'arg'").select("path", F.col("parent").alias("up"), "enter", "name")
     selfs = first.join(args, ["path", "up"]).groupBy("path", "function").agg((F.min_by("name", "enter") == "self").alias("instance"))
-    functions = named.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", "owner", "start_line", "end_line").join(selfs, ["path", "function"], "left")
-    inside = trees.enclosing(trees.innermost(tree, "function", "_caller", "name"), "function", "function")
+    functions = tree.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", "start_line", "end_line")
+    rows = functions.join(owners, ["path", "function"]).join(selfs, ["path", "function"], "left")
+    inside = stored(trees.enclosing(tree, "function", "function"), "stats-inside")
     fields = F.count_distinct(F.when((F.col("class") == "field") & ~F.col("note").eqNullSafe("called"), F.col("name")))
-    rows = functions.join(inside.groupBy("path", "function").agg(fields.alias("fields")), ["path", "function"])
-    for part in (trees.cyclomatic(inside, "path", "function"), trees.cognitive(inside, "path", "function")):
-        rows = rows.join(part, ["path", "function"])
-    running = stored(_running(files), "lines")
-    for end, line in (("b", F.col("line")), ("a", F.col("line") + 1)):  # up to the last line, and before the first
-        side = running.select("path", line.alias("start_line" if end == "a" else "end_line"), F.col("code").alias(f"code_{end}"), F.col("comment").alias(f"comment_{end}"))
-        rows = rows.join(side, ["path", "start_line" if end == "a" else "end_line"], "left")
-    part = lambda c: F.coalesce(f"{c}_b", F.lit(0)) - F.coalesce(f"{c}_a", F.lit(0))
+    for part in (inside.groupBy("path", "function").agg(fields.alias("fields")), trees.cyclomatic(inside, "path", "function"), trees.cognitive(inside, "path", "function"), _lines_within(functions, marks)):
+        rows = rows.join(part, ["path", "function"], "left")
+    rows = rows.join(keyed.select("path", "named"), "path")
     full = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat("owner", F.when(F.coalesce("instance", F.lit(False)), F.lit("#")).otherwise(F.lit("::")), "name"))
-    return rows.select(F.lit("FUNCTION").alias("kind"), "name", full.alias("fully_qualified_name"), "path", "start_line", "fields", "cyclomatic", "complexity", *_lines(F.col("end_line") - F.col("start_line") + 1, part("code"), part("comment")))
+    some = [F.coalesce(c, F.lit(least).cast("bigint")).alias(c) for c, least in (("fields", 0), ("cyclomatic", 1), ("complexity", 0))]  # deeper than metrics look
+    return rows.select(F.lit("FUNCTION").alias("kind"), "name", full.alias("fully_qualified_name"), F.col("named").alias("path"), "start_line", *some, *_lines(F.col("end_line") - F.col("start_line") + 1, F.col("code"), F.col("comment")))
 
 
-def stats_order(rows: DataFrame) -> DataFrame:
-    """By kind, then full name."""
-    return rows.orderBy("kind", "fully_qualified_name", "path")
+def stats_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """By kind, then full name; then path and ``ties``."""
+    return rows.orderBy("kind", "fully_qualified_name", "path", *ties)
