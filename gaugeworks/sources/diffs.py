@@ -4,7 +4,7 @@ Input: (diff, content), a whole diff in a row. A header is a line ``--- ``, one
 one ``@@ `` in a row, so lines of a hunk that look like one alone don't end it.
 
 Defined cases: null or empty content gives no rows; deleted files (``/dev/null``) have no
-lines; ``\\ No newline`` marks count for neither side; quoted names are left as they are.
+lines; ``\\ No newline`` marks count for neither side; quoted names are undone, their bytes being UTF-8.
 """
 
 from __future__ import annotations
@@ -13,9 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Escapes of one character in quoted names.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+
+
+def unquoted(name: Column) -> Column:
+    """A name as it is, or what stands between quotes with its escapes (octal bytes, letters) undone."""
+    inner = F.regexp_extract(name, r'(?s)^"(.*)"$', 1)
+    parts = F.regexp_extract_all(inner, F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]"), F.lit(0))
+    letters = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def bytes_of(x):
+        code = F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0")
+        known = F.try_element_at(letters, F.substring(x, 2, 1))
+        return F.when(F.length(x) == 4, code).when(F.length(x) == 2, F.coalesce(known, F.hex(F.substring(x, 2, 1)))).otherwise(F.hex(x))
+
+    return F.when(inner != "", F.decode(F.unhex(F.array_join(F.transform(parts, bytes_of), "")), "UTF-8")).otherwise(name)
+
+
 def _name(line: Column) -> Column:
     """The path of a ``+++ `` line, without the prefix and a time stamp."""
-    return F.regexp_replace(F.regexp_extract(line, r"^\+\+\+ ([^\t]*)", 1), "^b/", "")
+    return F.regexp_replace(unquoted(F.regexp_extract(line, r"^\+\+\+ ([^\t]*)", 1)), "^b/", "")
 
 
 def _lines(diffs: DataFrame) -> DataFrame:
@@ -49,5 +67,7 @@ def changed_files(diffs: DataFrame) -> DataFrame:
     hunks = _lines(diffs).where("_named").select("diff", _name(F.col("l")).alias("path"))
     sections = diffs.select("diff", F.explode(F.split("content", r"(?m)^(?=diff --git )")).alias("body")).where("body LIKE 'diff --git %'")
     gone = F.col("body").rlike(r"(?m)^deleted file mode")
-    moved = F.coalesce(F.nullif(F.regexp_extract("body", r"(?m)^rename to (.*?)\r?$", 1), F.lit("")), F.regexp_extract("body", r"^diff --git a/.* b/(.*?)\r?(?:\n|$)", 1))
+    quoted = F.regexp_replace(unquoted(F.regexp_extract("body", r'^diff --git .* ("b/.*")\r?(?:\n|$)', 1)), "^b/", "")
+    named = F.coalesce(F.nullif(quoted, F.lit("")), F.regexp_extract("body", r"^diff --git a/.* b/(.*?)\r?(?:\n|$)", 1))
+    moved = F.coalesce(F.nullif(unquoted(F.regexp_extract("body", r"(?m)^rename to (.*?)\r?$", 1)), F.lit("")), named)
     return hunks.unionByName(sections.where(~gone).select("diff", moved.alias("path"))).where("path <> '/dev/null' AND path <> ''").distinct()
