@@ -1,10 +1,12 @@
 """Patches from replacements, and files with patches applied.
 
-A replacement is a range of bytes, or of lines and columns from 1 where no bytes are given.
-Building: sorted by end, applied from the last to the first, then a unified diff with three
-lines of context; a range that leaves the file, splits a character or is turned round makes
-the whole patch empty. Applying: the patches of a file one after the other in the order given,
-each where its lines are found nearest to the place it names; one that doesn't fit or changes
+A replacement is a range of bytes, or of lines and columns from 1 where no bytes are given;
+these are looked up in the file's line index, as it was before any replacement.
+Building: sorted by end, the last first, each put into the file's bytes by one SQL fold, then
+a unified diff with three lines of context; a range that leaves the file, splits a character
+or is turned round makes the whole patch empty. A range that ends with the file leaves out
+its last byte. Applying: the patches of a file one after the other in the order given, each
+where its lines are found nearest to the place it names; one that doesn't fit or changes
 nothing is left out.
 
 Defined cases: no replacements, or a null file, give an empty patch; a path without issues
@@ -15,13 +17,15 @@ keep it so.
 from __future__ import annotations
 
 import difflib
-import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .offsets import line_index, with_bytes
+
 CONTEXT = 3
 REPLACEMENT = "struct<start_byte:bigint,end_byte:bigint,start_line:bigint,start_column:bigint,end_line:bigint,end_column:bigint,data:string>"
 RANGE = ("start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column", "data")
@@ -30,34 +34,37 @@ NO_END = "\\ No newline at end of file\n"
 UNSAFE_RULES = ("eslint:@typescript-eslint/no-explicit-any", "eslint:@typescript-eslint/no-empty-interface", "eslint:@typescript-eslint/no-non-null-assertion")
 
 
-def offset(text: bytes, line: int | None, column: int | None) -> int | None:
-    """Byte offset of a place; a column behind the line's end is that end. None if there is no such line."""
-    rows = text.split(b"\n")
-    if text.endswith(b"\n"):
-        rows.pop()
-    if not line or not 1 <= line <= len(rows):
-        return None
-    chars = rows[line - 1].decode(errors="replace")
-    start = sum(len(r) + 1 for r in rows[: line - 1])
-    return start + len(chars[: max(0, (column or 0) - 1)].encode())
-
-
-def replaced(contents: str, replacements: list[dict]) -> str | None:
-    """The contents after all replacements, or None if one doesn't fit."""
-    text = contents.encode()
-    for r in sorted(replacements, key=lambda r: -1 if r["end_byte"] is None else r["end_byte"])[::-1]:
-        start, end = r["start_byte"], r["end_byte"]
-        if start is None or end is None:
-            start, end = offset(text, r["start_line"], r["start_column"]), offset(text, r["end_line"], r["end_column"])
-        if start is None or end is None:
-            return None
-        if end == len(text) and end:
-            end -= 1
-        cut = all(0 <= k < len(text) and text[k] & 0xC0 != 0x80 for k in (start, end))
-        if not cut or start > end:
-            return None
-        text = text[:start] + (r["data"] or "").encode() + text[end:]
-    return text.decode()
+def _resolved(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(_s, cuts): for each numbered row its replacements as byte ranges, the last first; a range without a place has nulls."""
+    each = rows.select("_s", "path", F.posexplode("replacements").alias("nth", "r")).select("_s", "path", "nth", *[F.col(f"r.{c}").alias(c) for c in RANGE])
+    bare = F.col("start_byte").isNull() | F.col("end_byte").isNull()
+    index = line_index(files.join(each.where(bare).select("path").distinct(), "path", "left_semi"))
+    sure = each.where(~bare).select("_s", "nth", "start_byte", "end_byte", "data")
+    looked = with_bytes(with_bytes(each.where(bare).drop("start_byte", "end_byte"), index, "start_line", "start_column", "start_byte"), index, "end_line", "end_column", "end_byte")
+    every = sure.unionByName(looked.select("_s", "nth", "start_byte", "end_byte", "data"))
+    cut = F.struct("end_byte", "nth", F.col("start_byte").alias("start"), F.coalesce("data", F.lit("")).cast("binary").alias("data"))
+    return every.groupBy("_s").agg(F.sort_array(F.collect_list(cut), asc=False).alias("cuts"))
+
+
+def _cut(text: Column, cut: Column) -> Column:
+    """``text`` (binary) with one replacement, or null if it doesn't fit."""
+    size = F.octet_length(text)
+    end = F.when((cut["end_byte"] == size) & (size > 0), size - 1).otherwise(cut["end_byte"])
+
+    def starts_character(k):
+        return ~F.hex(F.substring(text, k.cast("int") + 1, 1)).rlike("^[89AB]")
+
+    fits = (cut["start"] >= 0) & (cut["start"] <= end) & (end < size) & starts_character(cut["start"]) & starts_character(end)
+    return F.when(fits, F.concat(F.substring(text, F.lit(1), cut["start"].cast("int")), cut["data"], F.substring(text, end.cast("int") + 1, size)))
+
+
+def modified(suggestions: DataFrame, files: DataFrame) -> DataFrame:
+    """``suggestions`` (with path and replacements), ``_s``, and their file before and after all replacements, null if one doesn't fit."""
+    rows = stored(suggestions.withColumn("_s", F.monotonically_increasing_id()), "suggestions")
+    source = files.select(F.col("path").alias("_path"), F.col("contents").alias("before"))
+    joined = rows.join(_resolved(rows, files), "_s", "left").join(source, F.col("path") == F.col("_path"), "left").drop("_path")
+    after = F.when(F.size("cuts") > 0, F.aggregate("cuts", F.col("before").cast("binary"), _cut)).cast("string")
+    return joined.withColumn("after", after).drop("cuts")
 
 
 def unified(before: str, after: str) -> str:
@@ -66,19 +73,16 @@ def unified(before: str, after: str) -> str:
 
 
 def build_patches(suggestions: DataFrame, files: DataFrame) -> DataFrame:
-    """``suggestions`` (with path and replacements) with ``patch``."""
+    """``suggestions`` (with path and replacements) with ``patch``; the diffs are made once and stored."""
     names = suggestions.columns
-    source = files.select(F.col("path").alias("_path"), F.col("contents").alias("_contents"))
-    joined = suggestions.join(source, F.col("path") == F.col("_path"), "left").drop("_path")
-    schema = suggestions.select(*names).schema.add("patch", "string")
+    rows = stored(modified(suggestions, files), "modified")
 
-    def patch(contents, replacements) -> str:
-        rows = [dict.fromkeys(RANGE) | r for r in json.loads(replacements or "[]")]  # JSON keeps whole numbers and nulls apart
-        after = replaced(contents, rows) if isinstance(contents, str) and rows else None
-        return "" if after is None else unified(contents, after)
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"_s": frame["_s"], "patch": [unified(a, b) for a, b in zip(frame["before"], frame["after"], strict=True)]})
 
-    made = F.pandas_udf(lambda c, r: pd.Series([patch(x, y) for x, y in zip(c, r, strict=True)]), "string")
-    return joined.withColumn("patch", made("_contents", F.to_json("replacements"))).select(*[f.name for f in schema])
+    made = stored(rows.where("after IS NOT NULL AND after <> before").select("_s", "before", "after").mapInPandas(run, "_s bigint, patch string"), "patches")
+    return rows.drop("before", "after").join(made, "_s", "left").select(*names, F.coalesce("patch", F.lit("")).alias("patch"))
 
 
 def patchable(patch: Column, path: Column, tool: Column, rule_key: Column, allow_unsafe: bool = False) -> Column:

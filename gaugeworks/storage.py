@@ -28,15 +28,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own beside the checkpoints, for a table or folder that goes when the application ends."""
+    path = f"{_folder(spark)}/gaugeworks-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet beside the checkpoints and read back, so what makes it runs once.
 
     The table survives lost executors; it goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/gaugeworks-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,12 +12,41 @@ def r(data, start=None, end=None, place=(None,) * 4):
     return {"start_byte": start, "end_byte": end, "start_line": place[0], "start_column": place[1], "end_line": place[2], "end_column": place[3], "data": data}
 
 
-def test_replacements():
-    assert P.replaced(TEXT, [r("1", 0, 3), r("2", 4, 8)]) == "1\n2\nthree\nfour\n"
-    assert P.replaced(TEXT, [r("ü", place=(2, 3, 2, 4))]) == "one\ntwü\nthree\nfour\n"
-    assert P.replaced(TEXT, [r("!", place=(1, 99, 1, 99))]) == "one!\ntwö\nthree\nfour\n"
-    for bad in (r("x", 7, 8), r("x", 5, 2), r("x", 0, 999), r("x", place=(9, 1, 9, 2))):
-        assert P.replaced(TEXT, [r("1", 0, 3), bad]) is None
+def after(spark, *suggestions, text=TEXT):
+    """What each suggestion makes of the text."""
+    files = spark.createDataFrame([("f", text)], "path string, contents string")
+    rows = spark.createDataFrame([(i, "f", x) for i, x in enumerate(suggestions)], f"position bigint, path string, replacements array<{P.REPLACEMENT}>")
+    return [x["after"] for x in P.modified(rows, files).orderBy("position").collect()]
+
+
+def test_replacements(spark):
+    bad = (r("x", 7, 8), r("x", 5, 2), r("x", 0, 999), r("x", place=(9, 1, 9, 2)), r("x", -1, 2))
+    good = [
+        [r("1", 0, 3), r("2", 4, 8)], [r("ü", place=(2, 3, 2, 4))], [r("!", place=(1, 99, 1, 99))], [r("T", place=(3, 1, 3, 2)), r("F", place=(4, None, 4, 2)), r("O", 0, 1)],
+        [r("a", 0, 0), r("b", 0, 0)], [r(None, 8, 14)], [r("x", 14, 20)],
+    ]
+    got = after(spark, *good, *[[r("1", 0, 3), x] for x in bad], [])
+    assert got[:7] == ["1\n2\nthree\nfour\n", "one\ntwü\nthree\nfour\n", "one!\ntwö\nthree\nfour\n", "One\ntwö\nThree\nFour\n", "abone\ntwö\nthree\nfour\n", "one\ntwö\nfour\n", "one\ntwö\nthreex\n"]
+    assert got[7:] == [None] * 6
+
+
+def plain(text, replacements):
+    """One after the other, the last end first."""
+    raw = text.encode()
+    for x in sorted(replacements, key=lambda x: x["end_byte"])[::-1]:
+        start, end = x["start_byte"], x["end_byte"]
+        end -= end == len(raw) and end > 0
+        if not 0 <= start <= end < len(raw) or any(raw[k] & 0xC0 == 0x80 for k in (start, end)):
+            return None
+        raw = raw[:start] + x["data"].encode() + raw[end:]
+    return raw.decode()
+
+
+def test_random_replacements(spark):
+    rng = random.Random(7)
+    cases = [[r(rng.choice(["", "x", "é\n"]), *sorted((rng.randrange(22), rng.randrange(22)))) for _ in range(rng.randrange(1, 5))] for _ in range(200)]
+    got, want = after(spark, *cases), [plain(TEXT, c) for c in cases]
+    assert got == want and sum(x is not None for x in want) > 50
 
 
 def test_patch_text_and_round_trip():
