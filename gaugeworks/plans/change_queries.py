@@ -8,7 +8,7 @@ from ..adapters import ISSUES_SQL, issues
 from ..catalog import query
 from ..operators import coverage as C
 from ..operators import issues as I
-from ..operators import patches, sinks, suppressions
+from ..operators import patches, sinks, snapshots, suppressions
 from ..sources import diffs
 
 
@@ -35,6 +35,41 @@ def s03(t):
     return diffs.changed_files(changes(t))
 
 
+def versions(t):
+    """A file a part before and after: p_partkey % 4 lines come in behind the first, one goes from a third, a fifth get another last line; each seventh is renamed, each eleventh deleted."""
+    path, body = F.concat(F.lit("p"), F.col("p_partkey").cast("string")), "array_join(transform(sequence(1, p_size), i -> concat('k', i, '\n')), '')"
+    before = F.expr(f"concat('head ', p_partkey, '\n', {body}, 'tail\n')")
+    cut = body.replace("sequence(1, p_size)", "sequence(if(p_partkey % 3 = 0, 2, 1), greatest(2, p_size))")
+    after = F.expr(f"concat('head ', p_partkey, '\n', repeat('new\n', cast(p_partkey % 4 AS int)), {cut}, if(p_partkey % 5 = 0, 'end\n', 'tail\n'))")
+    rows = t("part").where("p_size > 1").select("p_partkey", path.alias("path"), before.alias("before"), F.when(F.col("p_partkey") % 7 == 0, before).otherwise(after).alias("after"))
+    moved = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path"))
+    return rows.select("path", F.col("before").alias("contents")), rows.where("p_partkey % 11 <> 0 OR p_partkey % 7 = 0").select(moved.alias("path"), F.col("after").alias("contents"))
+
+
+V = "WITH v AS (SELECT *, 'p' || p_partkey AS path, p_partkey % 7 = 0 AS moved, p_partkey % 11 = 0 AND p_partkey % 7 <> 0 AS dead, p_partkey % 4 AS a, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS d, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS e FROM part WHERE p_size > 1)"
+
+
+@query("s07_file_changes", f"{V} SELECT CASE WHEN moved THEN 'new/' || path ELSE path END AS path, path AS old_path, CASE WHEN moved THEN 'R' WHEN dead THEN 'D' ELSE 'M' END AS status FROM v WHERE moved OR dead OR a + d + e > 0")
+def s07_files(t):
+    """Files that two snapshots differ in, renames by content."""
+    return snapshots.file_changes(*versions(t))
+
+
+@query("s07_line_changes", f"""{V}, w AS (SELECT path, ' ' AS op, p_size + 2 - d - e AS n FROM v WHERE NOT moved AND NOT dead AND a + d + e > 0 UNION ALL SELECT path, '+', a + e FROM v WHERE NOT moved AND NOT dead UNION ALL SELECT path, '-', d + e FROM v WHERE NOT moved AND NOT dead
+  UNION ALL SELECT path, '-', p_size + 2 FROM v WHERE moved OR dead UNION ALL SELECT 'new/' || path, '+', p_size + 2 FROM v WHERE moved) SELECT path, op, CAST(n AS BIGINT) AS n FROM w WHERE n > 0""")
+def s07_lines(t):
+    """How many lines of each file stay, come and go."""
+    return snapshots.line_changes(*versions(t)).groupBy("path", "op").agg(F.count("*").alias("n"))
+
+
+@query("s08_added_between_snapshots", f"""{V} SELECT path, CAST(u.k AS BIGINT) AS line FROM v, unnest(range(2, 2 + a)) AS u(k) WHERE NOT moved AND NOT dead
+  UNION ALL SELECT path, CAST(p_size + 2 + a - d AS BIGINT) FROM v WHERE NOT moved AND NOT dead AND e = 1
+  UNION ALL SELECT 'new/' || path, CAST(u.k AS BIGINT) FROM v, unnest(range(1, p_size + 3)) AS u(k) WHERE moved""")
+def s08_snapshots(t):
+    """Lines that a snapshot adds."""
+    return snapshots.added_lines(snapshots.line_changes(*versions(t)))
+
+
 def suppressing(t):
     """A file a part: half of them switch lint on at line 1 and off at line 4, one rule of another tool is named at line 6."""
     text = F.when(F.col("p_partkey") % 2 == 0, "# skip: +lint\na\n\n# skip(-lint)\nb\nc  # skip: other:r1\nd\n").otherwise("a\nb\nc\nd\ne\nf\n")
