@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import text as X
 from ..operators import coverage, paths
 from ..operators.issues import positions
+from ..sources import walks
 
 PATHS_SQL = f"WITH {ISSUES_SQL}, p AS (SELECT DISTINCT path FROM issues)"
 SUMS = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in paths.SUMS)
@@ -215,3 +216,35 @@ def x17(t):
 def f30(t):
     """Paths outside alternatives of a glob."""
     return coverage.ignore(distinct_paths(t), ["pkg*/mod{1,2}/**"])
+
+
+def tree(t):
+    """Six files a part in nested directories, and the ignore files of the tree: rules of the root, of each third directory, and one that takes files back in."""
+    names = F.array(*[F.lit(x) for x in ("a.py", "b.log", "keep.log", "build/x.o", "lib/build", ".git/config")])
+    top = F.concat(F.lit("d"), F.pmod("p_partkey", F.lit(9)).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"))
+    files = t("part").withColumn("name", F.explode(names)).select(F.concat(top, F.lit("/"), "name").alias("path"), F.lit(10).cast("long").alias("size"), (F.col("p_size") % 10 == 0).alias("link"), "p_size")
+    files = files.withColumn("size", F.when((F.col("p_size") % 10 == 1) & F.col("path").endswith(".py"), 3_000_000).otherwise(F.col("size"))).drop("p_size")
+    own = t("part").select(F.concat(F.lit("d"), F.pmod("p_partkey", F.lit(9)).cast("string")).alias("dir")).distinct().where("CAST(substring(dir, 2) AS int) % 3 = 0").select("dir", F.lit("!keep.log\n").alias("contents"))
+    root = own.sparkSession.createDataFrame([("", "*.log\nbuild/\n# comment\n"), ("d1", "/p*/a.py\n"), ("d2", "*\n!b.log\n")], "dir string, contents string")
+    return files, root.unionByName(own)
+
+
+@query("s02_walked_files", """WITH f AS (SELECT 'd' || (p_partkey % 9) || '/p' || p_partkey AS top, p_partkey % 9 AS d, p_size % 10 AS s, unnest(['a.py', 'b.log', 'keep.log', 'build/x.o', 'lib/build', '.git/config']) AS name FROM part)
+  SELECT top || '/' || name AS path FROM f WHERE s <> 0 AND d <> 2 AND CASE name WHEN 'a.py' THEN d <> 1 AND s <> 1 WHEN 'keep.log' THEN d % 3 = 0 WHEN 'lib/build' THEN true ELSE false END""")
+def s02(t):
+    """Files that ignore files of nested directories, sizes and links leave."""
+    return walks.walk(*tree(t)).select("path")
+
+
+@query("s02_walked_from_roots", """WITH f AS (SELECT 'd' || (p_partkey % 9) || '/p' || p_partkey AS top, p_partkey % 9 AS d, p_size % 10 AS s, unnest(['a.py', 'keep.log', 'lib/build']) AS name FROM part)
+  SELECT top || '/' || name AS path FROM f WHERE s <> 0 AND d IN (0, 4) AND CASE name WHEN 'a.py' THEN s <> 1 WHEN 'keep.log' THEN d % 3 = 0 ELSE true END""")
+def s02_roots(t):
+    """The same of two directories only."""
+    return walks.walk(*tree(t), roots=["d0", "d4/"]).select("path")
+
+
+@query("s04_ignored_entries", "SELECT DISTINCT 'd' || (p_partkey % 9) || '/p' || p_partkey || '/build' AS entry FROM part WHERE p_partkey % 9 <> 2 UNION ALL SELECT DISTINCT 'd2/p' || p_partkey FROM part WHERE p_partkey % 9 = 2 UNION ALL SELECT DISTINCT 'd2/p' || p_partkey || u.x FROM part, unnest(['/build', '/lib', '/.git']) AS u(x) WHERE p_partkey % 9 = 2")
+def s04_ignored(t):
+    """Directories that a rule ignores."""
+    files, rules = tree(t)
+    return walks.ignored(files.select("path"), rules).where("directory").select("entry")
