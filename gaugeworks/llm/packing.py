@@ -256,7 +256,8 @@ def repack(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(found: DataFrame, limit: int) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; the fewest sequences found."""
     found = materialize(found, "pieces")
-    whole = found.where(F.col("length") == limit).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # bins are numbered from 0 up, full pieces from -1 down
+    whole = found.where(F.col("length") == limit).select("item", F.expr("-1 - item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = found.where(F.col("length") < limit).select("item", "length", F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
     placed, k, before = [], 0, None
     while True:
