@@ -27,6 +27,7 @@ repeated rows get a row each; an empty table gives no rows; other columns are ig
 from __future__ import annotations
 
 import hashlib
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -106,14 +107,34 @@ class Pieces:
         self.pair_fits = np.zeros(PAIR_SLOTS, bool)
 
     def replay(self, text: str) -> list[str]:
-        """Merge the neighbours whose union scores highest, the leftmost first, until none is a piece."""
+        """Merge the neighbours whose union scores highest, the leftmost first, until none is a piece.
+
+        Candidates wait in a heap; links to living neighbours tell which are still there, so a
+        text of n characters takes n log n steps.
+        """
         parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and right[i] < len(parts) and parts[i] + parts[right[i]] in self.scores:
+                both = parts[i] + parts[right[i]]
+                heapq.heappush(heap, (-self.scores[both], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = right[i]
+            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, ""
+            right[i] = right[j]
+            if right[i] < len(parts):
+                left[right[i]] = i
+            offer(left[i])
+            offer(i)
+        return [p for p in parts if p]
 
     def _agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each two neighbouring pieces stay apart when merges are replayed; -1 is an unknown code point."""
