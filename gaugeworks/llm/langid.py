@@ -2,10 +2,12 @@
 
 Texts are lower-cased; every run of 1 to 3 code points is hashed to one of
 ``2 ** bits`` buckets. Training counts all labelled texts (no sample), in numpy a
-block at a time, summed by Spark over (label, bucket). The log-probability matrix has
-labels * 2**bits entries and ``max_labels`` bounds it; it is broadcast. Scoring gathers
-the matrix only at the buckets that occur. Log probabilities are fixed-point
-integers, so a score depends neither on batches nor on the order of rows.
+block at a time, summed by Spark over (label, bucket). The log-probability matrix is broadcast
+in blocks of at most ``max_labels`` labels, in the labels' order, so neither the driver nor a
+worker makes more than one at a time; each block is a step of the same stage that hands on a
+row's best label so far and the mass of all. Scoring gathers the matrix only at the buckets
+that occur. Log probabilities are fixed-point integers, so a score depends neither on batches
+nor on the order of rows.
 
 Defined cases: a null or empty text, or one without a letter, gets ``und`` and score
 0; equal scores give the label that sorts first; rows with a null label aren't learned
@@ -15,15 +17,16 @@ answered, one by one; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_type, mix
+from .common import fresh, id_type, materialize, mix
 
 UNKNOWN = "und"
 #: Fixed-point scale of log probabilities.
@@ -37,10 +40,13 @@ MAJORITY = 0.5
 
 @dataclass(frozen=True)
 class Model:
+    """A block of labels; ``further`` makes the next one."""
+
     labels: list[str]
     prior: np.ndarray  # int64 [labels]
     logp: np.ndarray  # int64 [labels, 2**bits + 1]; the last column is 0
     bits: int
+    further: Callable[[], Model] | None = None
 
 
 def has_letter(text: str) -> bool:
@@ -121,77 +127,100 @@ def _count(batches, bits: int):
 
 
 def train(df: DataFrame, text_col: str, label_col: str, bits: int = 15, max_labels: int = 512, smoothing: float = 0.5) -> Model:
-    """Count every labelled row; at most ``max_labels * (2**bits + 1)`` sums reach the driver."""
+    """Count every labelled row; at most ``max_labels * (2**bits + 1)`` sums reach the driver at a time."""
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull())
-    sums = rows.mapInArrow(lambda it: _count(it, bits), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.limit(max_labels * ((1 << bits) + 1) + 1).toPandas()
-    labels = sorted(found["label"].unique())
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: the matrix would outgrow its bound")
-    counts = np.zeros((len(labels), (1 << bits) + 1))
-    where = found["label"].map({x: k for k, x in enumerate(labels)}).to_numpy(np.int64) if len(labels) else np.zeros(0, np.int64)
-    counts[where, found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()  # bucket -1 is the last column
-    texts, counts = counts[:, -1].copy(), counts[:, :-1] + smoothing
-    logp = np.zeros((len(labels), (1 << bits) + 1), np.int64)
-    if labels:
-        logp[:, :-1] = np.rint(np.log(counts / counts.sum(axis=1, keepdims=True)) * SCALE)
-    prior = np.rint(np.log(texts / max(texts.sum(), 1)) * SCALE).astype(np.int64)
-    return Model(labels, prior, logp, bits)
-
-
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Predicted label and its posterior probability for each text."""
+    sums = materialize(rows.mapInArrow(lambda it: _count(it, bits), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "gram-counts")
+    seen = sums.where("bucket = -1").select("label", "n").toPandas()  # a row for each label
+    names, total = sorted(seen["label"]), max(int(seen["n"].sum()), 1)
+
+    def block(first: int) -> Model:
+        labels = names[first : first + max_labels]
+        counts = np.zeros((len(labels), (1 << bits) + 1))
+        if labels:
+            found = sums.where(F.col("label").between(labels[0], labels[-1])).toPandas()
+            where = found["label"].map({x: k for k, x in enumerate(labels)}).to_numpy(np.int64)
+            counts[where, found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()  # bucket -1 is the last column
+        texts, counts = counts[:, -1].copy(), counts[:, :-1] + smoothing
+        logp = np.zeros((len(labels), (1 << bits) + 1), np.int64)
+        if labels:
+            logp[:, :-1] = np.rint(np.log(counts / counts.sum(axis=1, keepdims=True)) * SCALE)
+        prior = np.rint(np.log(texts / total) * SCALE).astype(np.int64)
+        return Model(labels, prior, logp, bits, (lambda: block(first + max_labels)) if first + max_labels < len(names) else None)
+
+    return block(0)
+
+
+def _sums(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Log probability of each label (rows) and text."""
     sums = np.tile(model.prior[:, None], (1, len(texts)))
-    if model.labels:
-        for points, rows, bounds in _blocks(texts):
-            for bucket in gram_buckets(points, bounds, model.bits):
-                for k in range(len(model.labels)):
-                    run = np.zeros(len(bucket) + 1, np.int64)
-                    np.cumsum(model.logp[k][bucket], out=run[1:])
-                    np.add.at(sums[k], rows, run[bounds[1:]] - run[bounds[:-1]])
-    labels, scores = [], np.zeros(len(texts))
-    best = sums.argmax(axis=0) if model.labels else np.zeros(len(texts), np.int64)
+    for points, rows, bounds in _blocks(texts) if model.labels else ():
+        for bucket in gram_buckets(points, bounds, model.bits):
+            for k in range(len(model.labels)):
+                run = np.zeros(len(bucket) + 1, np.int64)
+                np.cumsum(model.logp[k][bucket], out=run[1:])
+                np.add.at(sums[k], rows, run[bounds[1:]] - run[bounds[:-1]])
+    return sums
+
+
+def _best(model: Model, texts: list[str | None], before=None) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """Best label, its log probability, and the mass of all labels relative to it, with those of ``before``; None without a letter."""
+    sums = _sums(model, texts)
+    labels, best, mass = ([None] * len(texts), np.zeros(len(texts), np.int64), np.zeros(len(texts))) if before is None else (list(before[0]), before[1].copy(), before[2].copy())
+    pick = sums.argmax(axis=0) if model.labels else None
     for i, t in enumerate(texts):
-        if not model.labels or not t or not has_letter(t):
-            labels.append(UNKNOWN)
+        if pick is None or not t or not has_letter(t):
             continue
-        gaps = (sums[:, i] - sums[best[i], i]) / SCALE
-        labels.append(model.labels[best[i]])
-        scores[i] = 1.0 / np.exp(np.maximum(gaps, -700)).sum()
-    return labels, scores
+        top, own = sums[pick[i], i], np.exp(np.maximum((sums[:, i] - sums[pick[i], i]) / SCALE, -700)).sum()
+        if labels[i] is None or top > best[i]:
+            carried = 0.0 if labels[i] is None else mass[i] * np.exp(max((best[i] - top) / SCALE, -700))
+            labels[i], best[i], mass[i] = model.labels[pick[i]], top, own + carried
+        else:
+            mass[i] += own * np.exp(max((top - best[i]) / SCALE, -700))
+    return labels, best, mass
 
 
-def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """(id, lang_pred, score) of every row, from its text alone."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = id_type(df, id_col)
+def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Predicted label and its posterior probability for each text, among this block's labels."""
+    labels, _, mass = _best(model, texts)
+    return [x if x is not None else UNKNOWN for x in labels], np.array([1.0 / m if x is not None else 0.0 for x, m in zip(labels, mass, strict=True)])
 
-    def run(batches):
-        for batch in batches:
-            labels, scores = score_texts(shared.value, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
+def scored(rows: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, tuple[str, str, str]]:
+    """``rows`` with three columns more, whose names follow: best label or null, its log probability, mass."""
+    names = tuple(fresh(rows, f"_{c}") for c in ("label", "best", "mass"))
+    width, at = len(rows.columns), rows.columns.index(text_col)
+    kinds = (pa.string(), pa.int64(), pa.float64())
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.LongType(), T.DoubleType()), strict=True))])
+    block: Model | None = model
+    while block is not None:
+        shared, first = rows.sparkSession.sparkContext.broadcast(Model(block.labels, block.prior, block.logp, block.bits)), block is model
 
+        def run(batches, shared=shared, first=first):
+            for batch in batches:
+                before = None if first else (batch.column(width).to_pylist(), *(batch.column(width + k).to_numpy(zero_copy_only=False) for k in (1, 2)))
+                found = _best(shared.value, batch.column(at).to_pylist(), before)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x, t) for x, t in zip(found, kinds, strict=True))], names=[*batch.schema.names[:width], *names])
 
-def rejection(model: Model, text: str | None, score: float) -> str | None:
-    """Why a row has no language, or None. The label alone is no reason, and a model without labels decides nothing."""
-    if not text or not has_letter(text):
-        return "no letter"
-    return "no majority" if model.labels and score < MAJORITY else None
+        rows = rows.mapInArrow(run, schema)
+        block = block.further() if block.further else None
+    return rows, names
 
 
-def keep_rows(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """The rows of ``df`` whose text has a language, all their columns; each row is decided by its own text, never by its id."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
+def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(id, lang_pred, score) of every row, from its text alone."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found, (label, _, mass) = scored(rows, model, "text")
+    return found.select("id", F.coalesce(label, F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col(label).isNotNull(), 1 / F.col(mass)).otherwise(0.0).alias("score"))
+
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            _, scores = score_texts(shared.value, texts)
-            yield batch.filter(pa.array([rejection(shared.value, t, x) is None for t, x in zip(texts, scores, strict=True)], pa.bool_()))
+def keep_rows(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose text has a language, all their columns; each row is decided by its own text, never by its id.
 
-    return df.mapInArrow(run, df.schema)
+    A text without a letter has none, and one whose best label has less than ``MAJORITY`` of the
+    posterior. The label alone is no reason, and a model without labels decides by letters only.
+    """
+    rows, (label, _, mass) = scored(df, model, text_col)
+    if not model.labels:
+        return rows.where(F.col(f"`{text_col}`").rlike(r"\p{L}")).select(*[F.col(f"`{c}`") for c in df.columns])
+    return rows.where(F.col(label).isNotNull() & (F.col(mass) * MAJORITY <= 1)).select(*[F.col(f"`{c}`") for c in df.columns])
