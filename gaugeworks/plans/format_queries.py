@@ -89,8 +89,6 @@ linter("l27_sqlfluff", "sqlfluff", "to_json(array(named_struct('filepath', conca
        f"SELECT 'z' || p_partkey AS path, 'n.x' AS rule_key, {PLACE}, {BIG('CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1 END')} AS end_line, {BIG('5')} AS end_column, {BIG('CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 40 END')} AS level FROM part",
        "path rule_key start_line end_line end_column level", "SQLFluff; warnings are low.")
 
-linter("l29_taplo", "taplo", "p_name", "SELECT CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS rule_key FROM part WHERE false", "path rule_key", "Taplo: text that gives no issues.")
-
 linter("l30_terraform", "terraform", f"to_json(named_struct('diagnostics', array(named_struct('severity', {sev}, 'summary', p_name, 'range', named_struct('filename', concat('t', p_partkey), 'start', named_struct('line', p_size, 'column', 1), 'end', named_struct('line', p_size, 'column', 7))))))",
        f"SELECT 't' || p_partkey AS path, p_name AS message, {PLACE}, {BIG('7')} AS end_column, {level(sql_sev, 40, error=50)} FROM part",
        "path message start_line end_column level", "terraform validate.")
