@@ -110,28 +110,32 @@ def prepend_source_dir(df: DataFrame, listing: DataFrame, dirs: list[str]) -> Da
     return df.join(first, "path", "left").withColumn("path", F.coalesce("placed", "path")).drop("placed")
 
 
-def glob_regex(glob: str) -> str:
-    """Regular expression of a glob: ``**`` spans directories, ``*`` and ``?`` don't."""
+def glob_regex(glob: str, within_names: bool = False) -> str:
+    """Regular expression of a glob. ``*`` and ``?`` match slashes too, so ``*.min.*`` holds in any directory.
+
+    ``within_names``: they don't (names of configuration files); ``**`` spans directories either way.
+    """
     out, i = "", 0
+    any_ = "[^/]" if within_names else "."
     while i < len(glob):
         if glob.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
         elif glob[i] == "*":
-            out, i = out + "[^/]*", i + 1
+            out, i = out + any_ + "*", i + 1
         elif glob[i] == "?":
-            out, i = out + "[^/]", i + 1
+            out, i = out + any_, i + 1
         elif glob[i] == "{" and "}" in glob[i:]:
             end = glob.index("}", i)
-            out, i = out + "(?:" + "|".join(glob_regex(x)[1:-1] for x in glob[i + 1 : end].split(",")) + ")", end + 1
+            out, i = out + "(?:" + "|".join(glob_regex(x, within_names)[5:-1] for x in glob[i + 1 : end].split(",")) + ")", end + 1
         elif glob[i] == "[" and "]" in glob[i + 1 :]:
             end = glob.index("]", i + 1)
             body = glob[i + 1 : end]
             out, i = out + "[" + ("^" + body[1:] if body[:1] == "!" else body) + "]", end + 1
         else:
             out, i = out + re.escape(glob[i]), i + 1
-    return "^" + out + "$"
+    return "(?s)^" + out + "$"
 
 
 def matches(path, globs) -> Column:

@@ -256,3 +256,35 @@ def first_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def exit_result(code: Column, success=(0,), errors=(2,), no_issues=()) -> Column:
     return F.when(code.isin(*success), "SUCCESS").when(code.isin(*errors), "KNOWN_ERROR").when(code.isin(*no_issues) if no_issues else F.lit(False), "NO_ISSUES").otherwise("UNKNOWN_ERROR")
+
+
+# ------------------------------------------------------------------ reports
+
+
+def _relative(path: Column, prefix: str) -> Column:
+    head = prefix.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substring(path, len(head) + 1, 1 << 30)).otherwise(path)
+
+
+def relative_paths(df: DataFrame, prefix: str) -> DataFrame:
+    """``path`` below a prefix, in the columns other_locations, suggestions and fully_qualified_name too, where the table has them."""
+    made = {"path": _relative(F.col("path"), prefix)}
+    if "fully_qualified_name" in df.columns:
+        made["fully_qualified_name"] = _relative(F.col("fully_qualified_name"), prefix)
+    place = lambda x: x.withField("path", _relative(x["path"], prefix))
+    if "other_locations" in df.columns:
+        made["other_locations"] = F.transform("other_locations", place)
+    if "suggestions" in df.columns:
+        made["suggestions"] = F.transform("suggestions", lambda s: s.withField("replacements", F.transform(s["replacements"], place)))
+    return df.withColumns(made)
+
+
+def attach_metadata(tables: dict[str, DataFrame], metadata: dict[str, str | None]) -> dict[str, DataFrame]:
+    """Each table with the metadata's fields as columns, which replace columns of these names."""
+    return {name: df.withColumns({k: F.lit(v).cast("string") for k, v in metadata.items()}) for name, df in tables.items()}
+
+
+def by_structure(df: DataFrame) -> DataFrame:
+    """(structural_hash, n, first): groups of duplicates and their first place; issues without a hash are in none."""
+    place = F.struct("path", "start_line", "end_line")
+    return df.where("structural_hash IS NOT NULL").groupBy("structural_hash").agg(F.count("*").alias("n"), F.min(place).alias("first"))

@@ -115,3 +115,35 @@ def source_roots(files: DataFrame) -> DataFrame:
     words = F.transform(F.regexp_extract_all("root", F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+"), F.lit(0)), F.lower)
     skip = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("test", "tests", "testing", "tester", "build")])) | F.array_contains(F.split("root", "/"), "node_modules")
     return roots.where(~skip).orderBy("root")
+
+
+# Paths that no analysis looks at unless told to.
+DEFAULT_EXCLUDES = (
+    "*_min.*", "*-min.*", "*.min.*", "**/.yarn/**", "**/*.d.ts", "**/bower_components/**", "**/build/**", "**/cache/**", "**/config/**", "**/db/**", "**/deps/**", "**/dist/**", "**/extern/**",
+    "**/external/**", "**/fixtures/**", "**/generated/**", "**/Godeps/**", "**/gradlew/**", "**/mvnw/**", "**/node_modules/**", "**/protos/**", "**/seed/**", "**/target/**", "**/testdata/**", "**/vendor/**",
+)
+
+
+def analysed(df: DataFrame, excludes: Sequence[str] = DEFAULT_EXCLUDES, tests: Sequence[str] = (), exclude_tests: bool = False) -> DataFrame:
+    """Rows whose path no exclude takes out; patterns of tests are excludes, the last ones, where tests are excluded."""
+    patterns = [*excludes, *(tests if exclude_tests else ())]
+    return df.where(keep_by_patterns(F.col("path"), patterns))
+
+
+def plugin_excluded(pairs: DataFrame, excludes: dict[str, Sequence[str]]) -> DataFrame:
+    """(plugin, path) pairs without those that an exclude of their own plugin matches."""
+    hit = F.lit(False)
+    for plugin, patterns in excludes.items():
+        hit = hit | ((F.col("plugin") == plugin) & matches(F.col("path"), patterns))
+    return pairs.where(~hit)
+
+
+def requested(rows: DataFrame, filters: Sequence[str]) -> DataFrame:
+    """Rows whose path is one of the filters, matches one, or lies in one that is a directory; all with a path if there are none."""
+    rows = rows.where(F.col("path").isNotNull())
+    if not filters:
+        return rows
+    inside = F.lit(False)
+    for f in filters:
+        inside = inside | under(F.col("path"), f) | matches(F.col("path"), [f])
+    return rows.where(inside)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("coverage_queries", "issue_queries", "path_queries", "linter_queries", "format_queries", "tree_queries", "metric_queries", "sink_queries", "change_queries", "fix_queries")
+MODULES = ("coverage_queries", "issue_queries", "path_queries", "linter_queries", "format_queries", "tree_queries", "metric_queries", "sink_queries", "change_queries", "fix_queries", "workspace_queries")
 
 
 def registry():

@@ -110,7 +110,8 @@ def reported(t, content):
     return file_coverage(t).select(F.concat_ws("|", "path", "report").alias("file"), content.alias("content"))
 
 
-REPORT = F.split_part("file", F.lit("|"), F.lit(2)).alias("report")
+def report():
+    return F.split_part("file", F.lit("|"), F.lit(2)).alias("report")
 
 
 @query("c02_clover", f"WITH {FILE_COVERAGE_SQL} SELECT path, report, array_to_string(hits, ',') AS hits FROM file_coverage")
@@ -118,7 +119,7 @@ def c02(t):
     """Clover XML, half of the files in a package; padded to the lines of code."""
     one = F.concat(F.lit('<file name="n" path="'), F.col("path"), F.lit('">'), xml_lines("line", "num", "count"), F.lit('<metrics loc="'), F.size("hits").cast("string"), F.lit('"/></file>'))
     packed = F.when(F.col("report") == "F", F.concat(F.lit("<package>"), one, F.lit("</package>"))).otherwise(one)
-    return formats.clover(reported(t, F.concat(F.lit("<coverage><project>"), packed, F.lit("</project></coverage>")))).select("path", REPORT, as_text())
+    return formats.clover(reported(t, F.concat(F.lit("<coverage><project>"), packed, F.lit("</project></coverage>")))).select("path", report(), as_text())
 
 
 @query("c06_jacoco", f"WITH {FILE_COVERAGE_SQL}, {VISIBLE_SQL} SELECT 'pkg/' || path AS path, report, array_to_string(hits, ',') AS hits FROM cut")
@@ -126,7 +127,7 @@ def c06(t):
     """JaCoCo XML, half of the packages one group deep."""
     one = F.concat(F.lit('<package name="pkg"><sourcefile name="'), F.col("path"), F.lit('">'), xml_lines("line", "nr", "ci"), F.lit("</sourcefile></package>"))
     grouped = F.when(F.col("report") == "F", F.concat(F.lit("<group>"), one, F.lit("</group>"))).otherwise(one)
-    return formats.jacoco(reported(t, F.concat(F.lit("<report>"), grouped, F.lit("</report>")))).select("path", REPORT, as_text())
+    return formats.jacoco(reported(t, F.concat(F.lit("<report>"), grouped, F.lit("</report>")))).select("path", report(), as_text())
 
 
 @query("c05_dotcover", f"WITH {FILE_COVERAGE_SQL}, {VISIBLE_SQL} SELECT path, report, array_to_string(list_transform(hits, lambda h: CASE WHEN h > 0 THEN 1 ELSE h END), ',') AS hits FROM cut WHERE len(hits) > 0")
@@ -134,7 +135,7 @@ def c05(t):
     """dotCover XML; statements joined to files by number."""
     each = F.array_join(F.array_compact(F.transform("hits", lambda h, i: F.when(h >= 0, F.concat(F.lit('<Statement FileIndex="7" Line="'), (i + 1).cast("string"), F.lit('" Covered="'), F.when(h > 0, "True").otherwise("False"), F.lit('"/>'))))), "")
     content = F.concat(F.lit('<Root DotCoverVersion="1"><FileIndices><File Index="7" Name="'), F.col("path"), F.lit('"/><File Index="8" Name="none"/></FileIndices><Assembly>'), each, F.lit("</Assembly></Root>"))
-    return formats.dotcover(reported(t, content)).select("path", REPORT, as_text())
+    return formats.dotcover(reported(t, content)).select("path", report(), as_text())
 
 
 COVERED = f"WITH {FILE_COVERAGE_SQL} SELECT path, report, array_to_string(hits, ',') AS hits FROM file_coverage"
@@ -143,7 +144,7 @@ COVERED = f"WITH {FILE_COVERAGE_SQL} SELECT path, report, array_to_string(hits,
 def _ruby(t, before: str, after: str, lines=None):
     one = F.to_json(F.struct(F.transform("hits", lambda h: F.when(h >= 0, h)).alias("lines")), {"ignoreNullFields": "false"})
     content = F.concat(F.lit(before.split("PATH")[0]), F.col("path"), F.lit(before.split("PATH")[1]), one if lines is None else lines, F.lit(after))
-    return formats.simplecov(reported(t, content)).select("path", REPORT, as_text())
+    return formats.simplecov(reported(t, content)).select("path", report(), as_text())
 
 
 @query("c07_simplecov_both_reports", COVERED)
@@ -176,4 +177,4 @@ def c09_whole(t):
 def c08_whole(t):
     """Xccov JSON of all reports."""
     lines = F.transform("hits", lambda h, i: F.struct((i + 1).alias("line"), (h >= 0).alias("isExecutable"), F.when(h >= 0, h).alias("executionCount")))
-    return formats.xccov(reported(t, F.to_json(F.create_map(F.col("path"), lines)))).select("path", REPORT, as_text())
+    return formats.xccov(reported(t, F.to_json(F.create_map(F.col("path"), lines)))).select("path", report(), as_text())

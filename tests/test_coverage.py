@@ -41,7 +41,7 @@ def test_totals(spark):
 
 @pytest.mark.parametrize(
     "glob, yes, no",
-    [("**/*.py", ["a.py", "x/y/a.py"], ["a.pyc"]), ("src/*", ["src/a"], ["src/a/b"]), ("a/{b,c}/**", ["a/b/x", "a/c/y/z"], ["a/d/x"]), ("[!a]?.c", ["bc.c"], ["ab.c", "b.c"])],
+    [("**/*.py", ["a.py", "x/y/a.py"], ["a.pyc"]), ("src/*", ["src/a", "src/a/b"], ["srca", "x/src/a"]), ("*.min.*", ["a.min.js", "x/y/a.min.js"], ["amin.js"]), ("a/{b,c}/**", ["a/b/x", "a/c/y/z"], ["a/d/x"]), ("[!a]?.c", ["bc.c"], ["ab.c", "b.c"])],
 )
 def test_globs(spark, glob, yes, no):
     from pyspark.sql import functions as F
@@ -50,6 +50,12 @@ def test_globs(spark, glob, yes, no):
     assert sorted(r["path"] for r in df.where(C.matches(F.col("path"), [glob])).collect()) == sorted(yes)
 
 
+def test_globs_within_names():
+    import re
+
+    assert [bool(re.search(C.glob_regex("src/*.{py,p?}", True), x)) for x in ("src/a.py", "src/a/b.py", "src/a.px", "src/a.p/")] == [True, False, True, False]
+
+
 def report(spark, content):
     return spark.createDataFrame([("f", content)], "file string, content string")
 
