@@ -41,9 +41,12 @@ def write_rows(df: DataFrame, path: str, table: str, compress: bool = False) ->
 
 
 def write_report(tables: dict[str, DataFrame], metadata: dict, path: str, compress: bool = False) -> None:
-    """A report's tables and one metadata document."""
+    """A report's tables and one metadata document; a table with ``position`` goes into numbered parts."""
     for name, df in tables.items():
-        write_rows(df, f"{path}/{name}", name, compress)
+        if "position" in df.columns:
+            write_parts(df, f"{path}/{name}", name)
+        else:
+            write_rows(df, f"{path}/{name}", name, compress)
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 

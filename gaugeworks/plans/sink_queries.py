@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import ISSUES_SQL, issues, stats, STATS_SQL, files, FILES_SQL
+from ..adapters import FILE_COVERAGE_SQL, FILES_SQL, ISSUES_SQL, STATS_SQL, file_coverage, files, issues, stats
 from ..catalog import query
-from ..operators import sinks
+from ..operators import bundles, sinks
+from ..operators.issues import positions
+from ..storage import scratch
 
 
 @query("k09_sarif_results", f"""WITH {ISSUES_SQL} SELECT id, '{{"ruleId":"' || rule_key || '","level":"' || CASE level WHEN 50 THEN 'error' WHEN 40 THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || message
@@ -44,3 +46,31 @@ def k14(t):
 def w10(t):
     """Files that an export of issues needs at least."""
     return issues(t).agg(F.ceil(F.count("*") / F.lit(float(sinks.PART_ROWS["issues"]))).cast("bigint").alias("parts"))
+
+
+def bundle(t):
+    """A coverage bundle with parts of 150 rows, and the folder it is in."""
+    spark = t("part").sparkSession
+    path = scratch(spark, "bundle")
+    rows = positions(file_coverage(t).orderBy("path", "report"))
+    ids = {"build_id": "b1", "upload_id": "u1"}
+    reports = file_coverage(t).groupBy("report").agg(F.count("*").alias("files"))
+    bundles.write_bundle(path, {"file_coverages": bundles.with_upload(rows, ids)}, {"report_files": bundles.with_upload(reports, ids)}, ids, {"file_coverages": 150})
+    return spark, path
+
+
+@query("k08_bundle_parts", f"""WITH {FILE_COVERAGE_SQL}, n AS (SELECT (row_number() OVER (ORDER BY path, report) - 1) // 150 AS k FROM file_coverage)
+  SELECT 'file_coverages-' || lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INTEGER), '0') || '.jsonl' AS name, count(*) AS rows FROM n GROUP BY k UNION ALL SELECT 'report_files.jsonl', count(DISTINCT report) FROM file_coverage""")
+def k08_parts(t):
+    """Names and rows of a coverage bundle's parts, by its manifest."""
+    spark, path = bundle(t)
+    parts = spark.read.text(f"{path}/manifest.json", wholetext=True).select(F.explode(F.from_json("value", "parts array<struct<name:string,rows:bigint>>")["parts"]).alias("p"))
+    return parts.select("p.name", "p.rows")
+
+
+@query("k08_bundle_rows", f"WITH {FILE_COVERAGE_SQL} SELECT path, report, array_to_string(hits, ',') AS hits, 'u1' AS upload_id, 'file_coverages-' || lpad(CAST((row_number() OVER (ORDER BY path, report) - 1) // 150 AS VARCHAR), 3, '0') || '.jsonl' AS file FROM file_coverage")
+def k08_rows(t):
+    """A bundle's rows read back, with the part each is in."""
+    spark, path = bundle(t)
+    rows = bundles.read_table(spark, path, "file_coverages", "path string, report string, hits array<bigint>, upload_id string")
+    return rows.select("path", "report", F.array_join(F.transform("hits", lambda h: h.cast("string")), ",").alias("hits"), "upload_id", "file")

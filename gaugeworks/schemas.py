@@ -1,4 +1,4 @@
-"""Record types. Levels are ordinal; unsigned 32-bit fields are BIGINT."""
+"""Names and numbers of record enums. Levels are ordinal."""
 
 from __future__ import annotations
 
@@ -6,26 +6,3 @@ from __future__ import annotations
 LEVELS = {"LEVEL_UNSPECIFIED": 0, "LEVEL_NOTE": 10, "LEVEL_FMT": 20, "LEVEL_LOW": 30, "LEVEL_MEDIUM": 40, "LEVEL_HIGH": 50}
 NOTE, FMT, LOW, MEDIUM, HIGH = 10, 20, 30, 40, 50
 SECURITY_CATEGORIES = ("CATEGORY_VULNERABILITY", "CATEGORY_SECRET", "CATEGORY_DEPENDENCY_ALERT")
-
-RANGE = "struct<start_line:bigint,start_column:bigint,end_line:bigint,end_column:bigint>"
-LOCATION = f"struct<path:string,range:{RANGE}>"
-REPLACEMENT = f"struct<data:string,location:{LOCATION}>"
-SUGGESTION = f"struct<description:string,patch:string,unsafe:boolean,source:string,replacements:array<{REPLACEMENT}>>"
-
-ISSUE = (
-    "tool string, driver string, rule_key string, message string, level bigint, category string, "
-    f"location {LOCATION}, documentation_url string, snippet string, effort_minutes bigint, value bigint, value_delta bigint, "
-    f"suggestions array<{SUGGESTION}>, properties map<string,string>, mode string, on_added_line boolean"
-)
-
-FILE_COVERAGE = "path string, hits array<bigint>"
-
-NODE = (
-    "path string, lang string, node_id int, post_id int, parent_id int, depth int, kind string, class string, name string, "
-    "start_line int, end_line int, mass int, structural_hash string, source_hash string"
-)
-
-STATS = (
-    "kind string, fully_qualified_name string, path string, files bigint, classes bigint, functions bigint, fields bigint, lines bigint, "
-    "code_lines bigint, comment_lines bigint, blank_lines bigint, complexity bigint, cyclomatic bigint, lcom4 bigint"
-)
