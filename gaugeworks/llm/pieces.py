@@ -112,28 +112,24 @@ class Pieces:
         Candidates wait in a heap; links to living neighbours tell which are still there, so a
         text of n characters takes n log n steps.
         """
-        parts = list(text)
-        left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        heap: list[tuple[float, int, str]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] < len(parts) and parts[i] + parts[right[i]] in self.scores:
-                both = parts[i] + parts[right[i]]
-                heapq.heappush(heap, (-self.scores[both], i, both))
-
-        for i in range(len(parts) - 1):
-            offer(i)
+        parts, n, score = list(text), len(text), self.scores.get
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, i, text[i : i + 2]) for i in range(n - 1) if (s := score(text[i : i + 2])) is not None]
+        heapq.heapify(heap)
         while heap:
             _, i, both = heapq.heappop(heap)
             j = right[i]
-            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != both:
+            if not parts[i] or j >= n or parts[i] + parts[j] != both:
                 continue
             parts[i], parts[j] = both, ""
-            right[i] = right[j]
-            if right[i] < len(parts):
-                left[right[i]] = i
-            offer(left[i])
-            offer(i)
+            after = right[i] = right[j]
+            if after < n:
+                left[after] = i
+                if (s := score(both + parts[after])) is not None:
+                    heapq.heappush(heap, (-s, i, both + parts[after]))
+            before = left[i]
+            if before >= 0 and (s := score(parts[before] + both)) is not None:
+                heapq.heappush(heap, (-s, before, parts[before] + both))
         return [p for p in parts if p]
 
     def _agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
