@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_type, materialize, mix
+from .common import fresh, materialize, mix
 
 UNKNOWN = "und"
 #: Fixed-point scale of log probabilities.
