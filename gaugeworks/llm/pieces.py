@@ -75,7 +75,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: list[bytes] = []  # what each id decodes to
         self.byte_ids = np.full(256, model.unk_id(), np.uint32)
-        by_length: dict[int, list[tuple[int, float, int]]] = {}
+        by_length: dict[int, list[tuple[str, float, int]]] = {}
         least = 0.0
         for k in range(model.vocab_size()):
             piece = model.id_to_piece(k)
@@ -88,15 +88,16 @@ class Pieces:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError("a piece crosses the border of words")
                 self.bytes.append(piece.replace(SPACE, " ").encode())
-                key = int(_substrings(_hashes(np.array([ord(c) for c in piece], np.uint32)), len(piece))[0])
-                by_length.setdefault(len(piece), []).append((key, model.get_score(k), k))
+                by_length.setdefault(len(piece), []).append((piece, model.get_score(k), k))
                 least = min(least, model.get_score(k))
         self.unknown = least - 10.0
         self.tables = {}
         for size, rows in sorted(by_length.items()):
-            rows.sort()
-            keys, scores, ids = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.uint64, np.float64, np.int64), strict=True))
-            self.tables[size] = keys, scores, ids
+            texts, scores, ids = zip(*rows, strict=True)
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            keys = _substrings(_hashes(points), size)[:, 0]
+            order = np.argsort(keys)
+            self.tables[size] = keys[order], np.array(scores, np.float64)[order], np.array(ids, np.int64)[order]
         self.cache = IdCache()
         self.merges = model_type(path) == BPE
         self.scores = {model.id_to_piece(k): model.get_score(k) for k in range(model.vocab_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k))}
@@ -273,7 +274,7 @@ class Pieces:
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join([self.bytes[k] for k in ids.tolist()])
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
