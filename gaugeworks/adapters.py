@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of a small file over all cores, as the texts made from them are many times larger."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def file_coverage(t) -> DataFrame:
     """(path, report, hits): two reports a path, lines in a fixed order."""
     hit = F.when(F.col("l_linenumber") == 7, F.lit(-1)).when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity")).cast("bigint")

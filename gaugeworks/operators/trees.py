@@ -68,6 +68,11 @@ def cyclomatic(nodes: DataFrame, *keys: str) -> DataFrame:
     return visited(nodes).groupBy(*(keys or ("path",))).agg((F.count_if(F.col("class").isin(*BRANCHES) | called) + 1).alias("cyclomatic"))
 
 
+def counted_nodes() -> Column:
+    """Nodes that cognitive complexity depends on, and the root, which stands for a file without any."""
+    return (F.col("depth") == 0) | F.col("class").isin(*CONTROLS, "function", "closure", "operator", "else", "elsif", "jump", "conditional_assignment") | ((F.col("class") == "call") & F.col("note").eqNullSafe("self"))
+
+
 def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
     """Control nodes count 1 and their nesting; elses, else-ifs, jumps, conditional assignments and calls of the function itself count 1.
 
@@ -77,7 +82,7 @@ def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
     that only makes and returns one isn't counted as a function that others are inside of.
     """
     keys = keys or ("path",)
-    rows = visited(nodes).select(*keys, "enter", "leave", "class", "name", "note", "caller").withColumn("_at", F.explode(F.array("enter", "leave")))
+    rows = visited(nodes).where(counted_nodes()).select(*keys, "enter", "leave", "class", "name", "note", "caller").withColumn("_at", F.explode(F.array("enter", "leave")))
     opens = F.col("_at") == F.col("enter")
     step = F.when(opens, 1).otherwise(-1)
     before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one sort for all sums
@@ -102,11 +107,11 @@ def cognitive(nodes: DataFrame, *keys: str) -> DataFrame:
 
 def boolean_depth(nodes: DataFrame) -> DataFrame:
     """(path, depth): how deep boolean operators nest."""
-    return nesting(visited(nodes), ["binary"], "_b").where("class = 'binary'").groupBy("path").agg(F.max(F.col("_b") + 1).cast("bigint").alias("depth"))
+    return nesting(visited(nodes).where("class = 'binary'"), ["binary"], "_b").groupBy("path").agg(F.max(F.col("_b") + 1).cast("bigint").alias("depth"))
 
 
 def control_depth(nodes: DataFrame) -> DataFrame:
-    return nesting(visited(nodes), CONTROLS, "_c").where(F.col("class").isin(*CONTROLS)).groupBy("path").agg(F.max(F.col("_c") + 1).cast("bigint").alias("depth"))
+    return nesting(visited(nodes).where(F.col("class").isin(*CONTROLS)), CONTROLS, "_c").groupBy("path").agg(F.max(F.col("_c") + 1).cast("bigint").alias("depth"))
 
 
 def counts(nodes: DataFrame) -> DataFrame:
@@ -116,16 +121,19 @@ def counts(nodes: DataFrame) -> DataFrame:
 
 def parameters(nodes: DataFrame) -> DataFrame:
     """(path, function, n): parameters of each function; self and cls don't count."""
-    lists = nodes.where("kind = 'arguments'").select("path", F.col("enter").alias("parent"), F.col("parent").alias("function"))
-    args = nodes.where("kind = 'arg' AND coalesce(name, '') NOT IN ('self', 'cls')").select("path", "parent")
-    functions = nodes.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", "start_line", "end_line")
-    counted = lists.join(args, ["path", "parent"]).groupBy("path", "function").agg(F.count("*").alias("n"))
-    return functions.join(counted, ["path", "function"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    is_list, is_arg, is_function = F.col("kind") == "arguments", F.col("kind") == "arg", F.coalesce(F.col("class") == "function", F.lit(False))
+    rows = nodes.where(is_list | is_arg | is_function)
+    of_list = F.when(is_function, -1 - F.col("enter")).when(is_list, F.col("enter")).otherwise(F.col("parent"))  # a list and its parameters, or a function
+    owner = F.when(is_function, F.col("enter")).when(is_list, F.col("parent"))
+    own = [F.max(F.when(is_function, F.col(c))).alias(c) for c in ("name", "start_line", "end_line")]
+    counted = F.count_if(is_arg & ~F.coalesce("name", F.lit("")).isin("self", "cls")).alias("n")
+    lists = rows.groupBy("path", of_list.alias("_list")).agg(F.max(owner).alias("function"), F.max(is_function).alias("_is"), *own, counted)
+    return lists.where("function IS NOT NULL").groupBy("path", "function").agg(F.max("name").alias("name"), F.max("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n").alias("n"), F.max("_is").alias("_is")).where("_is").drop("_is")
 
 
 def returns(nodes: DataFrame) -> DataFrame:
     """(path, function, n): return statements of the innermost function."""
-    inside = innermost(nodes, "function", "function").where("class = 'return'")
+    inside = innermost(nodes.where("class IN ('function', 'return')"), "function", "function").where("class = 'return'")
     return inside.where("function IS NOT NULL").groupBy("path", "function").agg(F.count("*").alias("n"))
 
 
@@ -135,13 +143,15 @@ def lcom4(nodes: DataFrame) -> DataFrame:
     Methods are linked through attributes of self that they share or the methods they
     call; constructors and methods that touch nothing don't count.
     """
-    rows = innermost(innermost(nodes, "class", "cls"), "function", "fn").where("cls IS NOT NULL AND fn IS NOT NULL")
+    rows = nodes.where("class IN ('class', 'function', 'field') OR (kind = 'Name' AND name = 'self')")
+    rows = innermost(innermost(rows, "class", "cls"), "function", "fn").where("cls IS NOT NULL AND fn IS NOT NULL")
     names = rows.where("class = 'function' AND enter = fn").select("path", "cls", "fn", F.col("name").alias("method"))
     own = rows.where("kind = 'Name' AND name = 'self'").select("path", F.col("parent").alias("enter"))
-    used = rows.where("class = 'field'").join(own, ["path", "enter"], "left_semi").select("path", "cls", "fn", F.col("name").alias("member"))
-    edges = names.where("method NOT IN ('__init__', '__new__', '__del__')").join(used, ["path", "cls", "fn"])
+    used = rows.where("class = 'field'").join(own.hint("merge"), ["path", "enter"], "left_semi").select("path", "cls", "fn", F.col("name").alias("member"))
+    edges = names.where("method NOT IN ('__init__', '__new__', '__del__')").join(used.hint("merge"), ["path", "cls", "fn"])
+    classes = edges.groupBy("path", "cls").agg(F.collect_set(F.struct("method", "member")).alias("edges"))
 
-    def groups(frame: pd.DataFrame) -> pd.DataFrame:
+    def groups(edges) -> int:
         leader: dict[str, str] = {}
 
         def find(x):
@@ -149,19 +159,22 @@ def lcom4(nodes: DataFrame) -> DataFrame:
                 x = leader[x]
             return x
 
-        for m, f in zip(frame["method"], frame["member"], strict=True):
-            leader[find(m)] = find(f)
-        n = len({find(m) for m in frame["method"]})
-        return pd.DataFrame({"path": [frame["path"].iloc[0]], "n": [n]})
+        for e in edges:
+            leader[find(e["method"])] = find(e["member"])
+        return len({find(e["method"]) for e in edges})
+
+    def counted(frames):
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "n": [groups(e) for e in frame["edges"]]})
 
-    return edges.groupBy("path", "cls").applyInPandas(groups, "path string, n long").groupBy("path").agg(F.max("n").alias("lcom4"))
+    return classes.select("path", "edges").mapInPandas(counted, "path string, n long").groupBy("path").agg(F.max("n").alias("lcom4"))
 
 
 def structure_issues(nodes: DataFrame, thresholds: dict[str, int] | None = None) -> DataFrame:
     """(path, rule_key, value, value_delta, effort_minutes) of the rules that fire; a threshold of None switches a rule off."""
     limits = {**THRESHOLDS, **(thresholds or {})}
     nodes = stored(nodes, "nodes")  # read by every rule; sources are parsed once
-    in_function = enclosing(nodes, "function", "function")
+    in_function = enclosing(nodes.where(counted_nodes()), "function", "function")
     values = {
         "boolean-logic": boolean_depth(nodes).select("path", F.col("depth").alias("value")),
         "nested-control-flow": control_depth(nodes).select("path", F.col("depth").alias("value")),
@@ -186,14 +199,19 @@ def structure_issues(nodes: DataFrame, thresholds: dict[str, int] | None = None)
 # ------------------------------------------------------------------ duplication
 
 
-def duplicates(nodes: DataFrame, min_mass: int = 64, min_lines: int = 15) -> DataFrame:
+MIN_MASS = 64
+#: Columns of the node table that ``duplicates`` reads.
+DUPLICATION = ("path", "enter", "leave", "start_line", "end_line", "mass", "structural_hash", "source_hash")
+
+
+def duplicates(nodes: DataFrame, min_mass: int = MIN_MASS, min_lines: int = 15) -> DataFrame:
     """One row for each occurrence of code found more than once.
 
     Groups of nodes with one structural digest and enough mass; digests that occur inside
     another group's node are dropped; a group is identical if its sources are.
     """
     big = stored(nodes.where(F.col("mass") >= min_mass), "big-nodes")
-    sizes = big.groupBy("structural_hash").agg(F.count("*").alias("n"), (F.count_distinct("source_hash") == 1).alias("identical")).where("n > 1")
+    sizes = big.groupBy("structural_hash").agg(F.count("*").alias("n"), F.coalesce(F.min("source_hash") == F.max("source_hash"), F.lit(False)).alias("identical")).where("n > 1")
     members = big.join(sizes, "structural_hash")
     before = Window.partitionBy("path").orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
     inner = members.withColumn("_end", F.max("leave").over(before)).where("_end > leave").select("structural_hash").distinct()

@@ -8,8 +8,7 @@ from ..catalog import query
 from ..operators import issues, paths, trees, versions
 from ..operators.trees import duplicates
 from ..sources import manifests
-from ..sources.trees import nodes
-from .tree_queries import modules
+from .tree_queries import heavy
 
 def key():
     return F.col("p_partkey").cast("string")
@@ -97,13 +96,13 @@ def f21(t):
 @query("d08_requested_duplicates")
 def d08(t):
     """Duplicates of the whole repository that lie in requested paths, with how many places their code has."""
-    return paths.requested(duplicates(nodes(modules(t), "python")), ["p1.py", "p2*"]).select("path", "start_line", "rule_key", "n")
+    return paths.requested(duplicates(heavy(t)), ["p1.py", "p2*"]).select("path", "start_line", "rule_key", "n")
 
 
 @query("a10_duplicate_groups")
 def a10(t):
     """Groups of duplicates by structure."""
-    return issues.by_structure(trees.duplicates(nodes(modules(t), "python"))).select("structural_hash", "n", F.col("first.path").alias("path"), F.col("first.start_line").alias("start_line"))
+    return issues.by_structure(trees.duplicates(heavy(t))).select("structural_hash", "n", F.col("first.path").alias("path"), F.col("first.start_line").alias("start_line"))
 
 
 def nested(t):
