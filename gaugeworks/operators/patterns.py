@@ -150,6 +150,10 @@ def read(pattern: str) -> tuple[Part, list[tuple[str, str, list[str]]]]:
 # ------------------------------------------------------------------ node tables for patterns
 
 
+#: Columns of the node table that patterns read.
+COLUMNS = ("path", "enter", "parent", "position", "kind", "field", "name", "start_byte", "end_byte", "class")
+
+
 def pattern_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(path, enter, parent, position, last, kind, field, start_byte, end_byte, text) of nodes and names.
 
@@ -160,7 +164,7 @@ def pattern_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
     rows = nodes.select("path", "enter", "parent", "position", "kind", "field", "name", "start_byte", "end_byte", F.col("class").isin("function", "class").alias("named"))
     on = (F.coalesce("path", F.lit("")) == F.col("_p")) & (F.col("path").isNull() == F.col("_n"))
     text = F.substring(F.col("_b"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte")).cast("string")
-    whole = rows.join(source, on).select("path", "enter", "parent", F.col("position").cast("long").alias("position"), "kind", "field", "start_byte", "end_byte", text.alias("text"), "name", "named")
+    whole = rows.join(source.hint("merge"), on).select("path", "enter", "parent", F.col("position").cast("long").alias("position"), "kind", "field", "start_byte", "end_byte", text.alias("text"), "name", "named")
     bare = whole.drop("name", "named")
     names = whole.where("named").select("path", F.expr("-1 - enter").alias("enter"), F.col("enter").alias("parent"), F.lit(-1).cast("long").alias("position"), F.lit("identifier").alias("kind"), F.lit("name").alias("field"), "start_byte", "end_byte", F.col("name").alias("text"))
     return bare.unionByName(names)
@@ -209,7 +213,7 @@ class _Matcher:
         if part.children:
             part.reached = self.reach(part)
             heads = part.reached[-1].select("path", F.col("parent").alias("enter")).distinct()
-            rows = rows.alias("x").join(heads.alias("y"), _on("x", "y", "path", "enter"), "left_semi")
+            rows = rows.alias("x").join(heads.hint("merge").alias("y"), _on("x", "y", "path", "enter"), "left_semi")
         return rows
 
     def reach(self, part: Part) -> list[DataFrame]:
@@ -220,10 +224,10 @@ class _Matcher:
             if child.near and k == 0:
                 rows = self._edge(rows, F.min)
             elif k and child.near:
-                rows = rows.alias("x").join(out[-1].select("path", "parent", (F.col("position") + 1).alias("position")).distinct().alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
+                rows = rows.alias("x").join(out[-1].select("path", "parent", (F.col("position") + 1).alias("position")).distinct().hint("merge").alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
             elif k:
                 ahead = out[-1].groupBy(*KEY).agg(F.min("position").alias("bound"))
-                rows = rows.alias("x").join(ahead.alias("y"), _on("x", "y", *KEY) & (F.col("x.position") > F.col("y.bound"))).select("x.*")
+                rows = rows.alias("x").join(ahead.hint("merge").alias("y"), _on("x", "y", *KEY) & (F.col("x.position") > F.col("y.bound"))).select("x.*")
             if part.end and k == len(part.children) - 1:
                 rows = self._edge(rows, F.max)
             out.append(stored(rows, "pattern-part"))
@@ -232,7 +236,7 @@ class _Matcher:
     def _edge(self, rows: DataFrame, which) -> DataFrame:
         """Of ``rows`` those that are the first or last child of their parent; names aren't counted."""
         ends = self.table.where("position >= 0").groupBy(*KEY).agg(which("position").alias("position"))
-        return rows.alias("x").join(ends.alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
+        return rows.alias("x").join(ends.hint("merge").alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
 
     def captures(self, part: Part, rows: DataFrame) -> list[DataFrame]:
         """Captures at and below ``rows``, which are known to be part of a match; ``root`` is carried along."""
@@ -240,19 +244,19 @@ class _Matcher:
         for option in part.options:
             if option.captures or option.children:
                 held = self.candidates(option)
-                out += self.captures(option, rows.alias("x").join(held.alias("y"), _on("x", "y", "path", "enter"), "left_semi"))
+                out += self.captures(option, rows.alias("x").join(held.hint("merge").alias("y"), _on("x", "y", "path", "enter"), "left_semi"))
         if not any(_captures(c) for c in part.children):
             return out
         parents = rows.select("path", "enter", "root").distinct()
         after, anchored = None, False
         for k in reversed(range(len(part.children))):
             child = part.children[k]
-            own = part.reached[k].alias("x").join(parents.alias("p"), F.col("x.path").eqNullSafe(F.col("p.path")) & (F.col("x.parent") == F.col("p.enter"))).select("x.*", "p.root")
+            own = part.reached[k].alias("x").join(parents.hint("merge").alias("p"), F.col("x.path").eqNullSafe(F.col("p.path")) & (F.col("x.parent") == F.col("p.enter"))).select("x.*", "p.root")
             if after is not None and anchored:
-                own = own.alias("x").join(after.select("path", "parent", (F.col("position") - 1).alias("position")).distinct().alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
+                own = own.alias("x").join(after.select("path", "parent", (F.col("position") - 1).alias("position")).distinct().hint("merge").alias("y"), _on("x", "y", *KEY, "position"), "left_semi")
             elif after is not None:
                 bound = after.groupBy(*KEY).agg(F.max("position").alias("bound"))
-                own = own.alias("x").join(bound.alias("y"), _on("x", "y", *KEY) & (F.col("x.position") < F.col("y.bound"))).select("x.*")
+                own = own.alias("x").join(bound.hint("merge").alias("y"), _on("x", "y", *KEY) & (F.col("x.position") < F.col("y.bound"))).select("x.*")
             own = stored(own, "pattern-child")
             out += self.captures(child, own)
             after, anchored = own, child.near

@@ -20,11 +20,10 @@ from __future__ import annotations
 import io
 import tokenize
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.trees import nodes
+from ..sources.trees import BATCH_ROWS, nodes
 from ..storage import stored
 from . import patterns, trees
 
@@ -65,15 +64,24 @@ def _marks(files: DataFrame, ranges: DataFrame | None) -> DataFrame:
     """(path, line, code, comment): marked lines, without what lies in ``ranges``."""
     whole = ranges is not None
 
-    def run(frames):
-        for frame in frames:
-            for path, text in zip(frame["path"], frame["contents"], strict=True):
-                marks = pd.DataFrame(token_marks(text), columns=["line", "start_byte", "end_byte", "comment"])
-                if not whole:
-                    marks = marks.drop_duplicates(["line", "comment"])
-                yield marks.assign(path=path)
+    def run(batches):
+        import pyarrow as pa
 
-    rows = files.where("contents IS NOT NULL").select("path", "contents").mapInPandas(run, "path string, line int, start_byte int, end_byte int, comment boolean")
+        form = pa.schema([("path", pa.string()), ("line", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("comment", pa.bool_())])
+        rows = []
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                marks = token_marks(text)
+                if not whole:
+                    marks = {(m[0], m[3]): m for m in marks}.values()
+                rows += [(path, *m) for m in marks]
+                if len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
+
+    rows = files.where("contents IS NOT NULL").select("path", "contents").mapInArrow(run, "path string, line int, start_byte int, end_byte int, comment boolean")
     if whole:
         rows = patterns.exclude(rows, ranges)
     code = F.max((~F.col("comment")).cast("int"))
@@ -85,30 +93,51 @@ def _lines(total, code, comment) -> list:
     return [v.cast("bigint").alias(n) for v, n in zip(values, LINES, strict=True)]
 
 
+#: Columns of the node table that stats read, and those that patterns and exclusion need besides.
+COLUMNS = ("path", "enter", "leave", "parent", "depth", "kind", "class", "name", "note", "caller", "start_line", "end_line")
+PLACES = ("position", "field", "start_byte", "end_byte")
+
+
+def _numbered(files: DataFrame) -> DataFrame:
+    """Files by number (``path``) with their own path (``named``)."""
+    keyed = files.where("contents IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("path"), F.col("path").alias("named"), "contents")
+    return stored(keyed, "stats-files")
+
+
 def _prepared(files: DataFrame, excluded: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Files by number (``path``) with their own path (``named``), their nodes, all nodes, and line marks; without what is excluded."""
-    keyed = files.where("contents IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("path"), F.col("path").alias("named"), "contents")
-    keyed = stored(keyed, "stats-files")
-    whole = stored(nodes(keyed, "python", digests=False), "stats-nodes")
+    keyed = _numbered(files)
+    whole = stored(nodes(keyed, "python", digests=False, columns=COLUMNS + (PLACES if excluded else ())), "stats-nodes")
     if not excluded:
         return keyed, whole, whole, _marks(keyed, None)
     ranges = stored(patterns.all_captured(stored(patterns.pattern_nodes(whole, keyed), "pattern-nodes"), excluded), "stats-ranges")
     return keyed, stored(patterns.exclude(whole, ranges), "stats-kept"), whole, _marks(keyed, ranges)
 
 
+def _file_lines(keyed: DataFrame, marks: DataFrame) -> DataFrame:
+    text = F.col("contents")
+    total = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + ((text != "") & ~text.endswith("\n")).cast("int")
+    sums = marks.groupBy("path").agg(F.sum("code").alias("code"), F.sum("comment").alias("comment"))
+    rows = keyed.select("path", "named", total.alias("n")).join(sums.hint("merge"), "path", "left")
+    return rows.select("path", "named", *_lines(F.col("n"), F.coalesce("code", F.lit(0)), F.coalesce("comment", F.lit(0))))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """(path, lines, code_lines, comment_lines, blank_lines) of each file; no tree is built."""
+    keyed = _numbered(files)
+    return _file_lines(keyed, _marks(keyed, None)).select(F.col("named").alias("path"), *LINES)
+
+
 def file_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """(kind, fully_qualified_name, path, files, classes, functions, fields, cyclomatic, complexity, lcom4, lines ...) of each file.
 
     A file's counts are null only if it doesn't parse; one whose nodes are all excluded has none of each.
     """
     keyed, tree, whole, marks = _prepared(files, excluded or [])
-    text = F.col("contents")
-    total = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + ((text != "") & ~text.endswith("\n")).cast("int")
-    rows = keyed.select("path", "named", total.alias("n")).join(marks.groupBy("path").agg(F.sum("code").alias("code"), F.sum("comment").alias("comment")), "path", "left")
-    rows = rows.select("path", "named", *_lines(F.col("n"), F.coalesce("code", F.lit(0)), F.coalesce("comment", F.lit(0))))
-    rows = rows.join(whole.where("parent IS NULL").select("path", F.lit(0).cast("bigint").alias("parsed")), "path", "left")
+    rows = _file_lines(keyed, marks)
+    rows = rows.join(whole.where("parent IS NULL").select("path", F.lit(0).cast("bigint").alias("parsed")).hint("merge"), "path", "left")
     for part in (trees.counts(tree), trees.cyclomatic(tree), trees.cognitive(tree), trees.lcom4(tree)):
-        rows = rows.join(part, "path", "left")
+        rows = rows.join(part.hint("merge"), "path", "left")  # sizes of compressed tables say little, so nothing is broadcast
     # a file that parses has its own minimum of each even if all of it is excluded
     counts = [F.coalesce(c, F.col("parsed") + (1 if c == "cyclomatic" else 0)).alias(c) for c in ("classes", "functions", "fields", "cyclomatic", "complexity", "lcom4")]
     return rows.select(F.lit("FILE").alias("kind"), F.col("named").alias("fully_qualified_name"), F.col("named").alias("path"), F.lit(1).cast("bigint").alias("files"), *counts, *LINES)
@@ -129,17 +158,18 @@ def function_stats(files: DataFrame, excluded: list[str] | None = None) -> DataF
     The name is qualified by the innermost class that holds the function, with ``#`` if its first parameter is self.
     """
     keyed, tree, whole, marks = _prepared(files, excluded or [])
-    owners = trees.innermost(whole, "class", "owner", "name").where("class = 'function'").select("path", F.col("enter").alias("function"), "owner")
-    first = whole.where("kind = 'arguments'").select("path", F.col("enter").alias("up"), F.col("parent").alias("function"))
-    args = whole.where("kind = 'arg'").select("path", F.col("parent").alias("up"), "enter", "name")
-    selfs = first.join(args, ["path", "up"]).groupBy("path", "function").agg((F.min_by("name", "enter") == "self").alias("instance"))
+    owners = trees.innermost(whole.where("class IN ('class', 'function')"), "class", "owner", "name").where("class = 'function'").select("path", F.col("enter").alias("function"), "owner")
+    is_arg = F.col("kind") == "arg"
+    lists = whole.where("kind IN ('arguments', 'arg')").groupBy("path", F.when(is_arg, F.col("parent")).otherwise(F.col("enter")).alias("up"))
+    lists = lists.agg(F.max(F.when(~is_arg, F.col("parent"))).alias("function"), F.min_by(F.when(is_arg, F.col("name")), F.when(is_arg, F.col("enter"))).alias("first"))
+    selfs = lists.where("first IS NOT NULL AND function IS NOT NULL").select("path", "function", (F.col("first") == "self").alias("instance"))
     functions = tree.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", "start_line", "end_line")
-    rows = functions.join(owners, ["path", "function"]).join(selfs, ["path", "function"], "left")
-    inside = stored(trees.enclosing(tree, "function", "function"), "stats-inside")
+    rows = functions.join(owners.hint("merge"), ["path", "function"]).join(selfs.hint("merge"), ["path", "function"], "left")
+    inside = stored(trees.enclosing(tree.where("class IS NOT NULL"), "function", "function"), "stats-inside")
     fields = F.count_distinct(F.when((F.col("class") == "field") & ~F.col("note").eqNullSafe("called"), F.col("name")))
     for part in (inside.groupBy("path", "function").agg(fields.alias("fields")), trees.cyclomatic(inside, "path", "function"), trees.cognitive(inside, "path", "function"), _lines_within(functions, marks)):
-        rows = rows.join(part, ["path", "function"], "left")
-    rows = rows.join(keyed.select("path", "named"), "path")
+        rows = rows.join(part.hint("merge"), ["path", "function"], "left")
+    rows = rows.join(keyed.select("path", "named").hint("merge"), "path")
     full = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat("owner", F.when(F.coalesce("instance", F.lit(False)), F.lit("#")).otherwise(F.lit("::")), "name"))
     some = [F.coalesce(c, F.lit(least).cast("bigint")).alias(c) for c, least in (("fields", 0), ("cyclomatic", 1), ("complexity", 0))]  # deeper than metrics look
     return rows.select(F.lit("FUNCTION").alias("kind"), "name", full.alias("fully_qualified_name"), F.col("named").alias("path"), "start_line", *some, *_lines(F.col("end_line") - F.col("start_line") + 1, F.col("code"), F.col("comment")))

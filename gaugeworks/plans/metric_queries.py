@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..adapters import dealt
 from ..catalog import query
 from ..operators import issues, patterns, stats
 from ..sources.trees import nodes
@@ -48,7 +49,7 @@ def programs(t):
     free = F.expr(f"array_join(transform(sequence(0, int(p_partkey % 3)), i -> concat({loop}, {inner})), '')")
     test = F.concat(F.lit("def test_"), F.col("p_partkey").cast("string"), F.lit("():\n    assert f0([])\n"))
     body = F.concat(F.lit("# part "), F.col("p_partkey").cast("string"), F.lit("\n" + CLASS), free, test)
-    return t("part").select(F.concat(F.lit("m"), F.col("p_partkey"), F.lit(".py")).alias("path"), body.alias("contents"))
+    return dealt(t("part")).select(F.concat(F.lit("m"), F.col("p_partkey"), F.lit(".py")).alias("path"), body.alias("contents"))
 
 
 M = "WITH m AS (SELECT 'm' || p_partkey || '.py' AS path, p_partkey, CAST(p_partkey % 3 + 1 AS BIGINT) AS m, CAST(p_size % 4 AS BIGINT) AS a FROM part)"
@@ -91,7 +92,7 @@ def t12_functions(t):
 @query("t09_lines", f"{M} SELECT path, lines, code_lines, comment_lines, blank_lines FROM ({FILE.format(t=1)})")
 def t09(t):
     """Code, comment and blank lines; code wins."""
-    return stats.file_stats(programs(t)).select("path", *stats.LINES)
+    return stats.file_lines(programs(t))
 
 
 @query("o03_stats_positions", f"""{M}, s AS (SELECT kind, fully_qualified_name, path, CAST(NULL AS INTEGER) AS start_line FROM ({FILE.format(t=1)}) UNION ALL SELECT kind, fully_qualified_name, path, start_line FROM ({FUNCTION}))
@@ -122,7 +123,7 @@ SHAPES = [
 def t02(t):
     """Captures of six patterns in each file."""
     files = stored(programs(t), "programs")
-    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False), files), "pattern-nodes")
+    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False, columns=patterns.COLUMNS), files), "pattern-nodes")
     return patterns.captures(table, SHAPES).groupBy("path", "pattern", "capture").agg(F.count("*").alias("n"))
 
 
@@ -131,7 +132,7 @@ def t02(t):
 def t02_names(t):
     """Names that a pattern of methods (1) and one of functions outside classes (0) capture."""
     files = stored(programs(t), "programs")
-    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False), files), "pattern-nodes")
+    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False, columns=patterns.COLUMNS), files), "pattern-nodes")
     found = patterns.captures(table, ['(module (function_definition name: (identifier) @name (#not-match? @name "^test")))', "(class_definition (function_definition name: (identifier) @name))"])
     return found.select("path", F.col("text").alias("name"), F.col("pattern").cast("bigint").alias("parent_kind"))
 
@@ -140,7 +141,7 @@ def t02_names(t):
 def f11(t):
     """Nodes inside imports and tests, which exclusion drops, and functions that stay."""
     files = stored(programs(t), "programs")
-    tree = stored(nodes(files, "python", digests=False), "nodes")
+    tree = stored(nodes(files, "python", digests=False, columns=patterns.COLUMNS), "nodes")
     ranges = patterns.all_captured(stored(patterns.pattern_nodes(tree, files), "pattern-nodes"), [*TESTS, *IMPORTS])
     kept = patterns.exclude(tree, ranges).groupBy("path").agg(F.count("*").alias("kept"), F.count_if(F.col("class") == "function").alias("functions"))
     return tree.groupBy("path").agg(F.count("*").alias("n")).join(kept, "path").select("path", (F.col("n") - F.col("kept")).alias("excluded"), "functions")
