@@ -56,9 +56,18 @@ def is_release(key: Column) -> Column:
     return key.endswith(RELEASE)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _bounds(comparator: Column) -> Column:
     """Struct (low, high, pre): keys from ``low`` on and below ``high``; ``pre`` is the triple of a named pre-release. Null if unreadable."""
-    part = [F.regexp_extract(comparator, PARTIAL, k) for k in range(1, 7)]
+    part = F.array(*[F.regexp_extract(comparator, PARTIAL, k) for k in range(1, 7)])
+    return F.when(comparator.rlike(PARTIAL), _let(part, lambda p: _bounds_of([p[k] for k in range(6)])))
+
+
+def _bounds_of(part: list[Column]) -> Column:
     sign = F.when(part[0] == "", "^").otherwise(part[0])
     given = [F.when(p.rlike(r"^\d+$"), p.cast("decimal(20,0)")) for p in part[1:4]]
     wild = part[2].isin("*", "x", "X") | part[3].isin("*", "x", "X")
@@ -88,25 +97,32 @@ def _bounds(comparator: Column) -> Column:
         .when(sign == "~", F.struct(start.alias("low"), tilde.alias("high")))
         .otherwise(F.struct(start.alias("low"), caret.alias("high")))
     )
-    return F.when(comparator.rlike(PARTIAL), F.struct(bounds["low"].alias("low"), bounds["high"].alias("high"), F.when(pre != "", triple(low)).alias("pre")))
+    return _let(bounds, lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), F.when(pre != "", triple(low)).alias("pre")))
 
 
 def intervals(requirement: Column) -> Column:
     """Array of structs (low, high, pre) of a requirement; null if a comparator is unreadable."""
 
     def one(conjunction):
-        each = F.transform(F.filter(F.split(conjunction, ","), lambda c: F.trim(c) != ""), _bounds)
+        return _let(F.transform(F.filter(F.split(conjunction, ","), lambda c: F.trim(c) != ""), _bounds), joint)
+
+    def joint(each):
         bounds = F.transform(each, lambda b: b["low"]), F.transform(each, lambda b: b["high"])
         known = F.forall(each, lambda b: b.isNotNull())
         return F.when(known, F.struct(F.coalesce(F.array_max(bounds[0]), F.lit("")).alias("low"), F.coalesce(F.array_min(bounds[1]), F.lit(LAST)).alias("high"), F.array_distinct(F.array_compact(F.transform(each, lambda b: b["pre"]))).alias("pre")))
 
     parts = F.transform(F.split(requirement, r"\|\|"), one)
-    return F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
+    return _let(parts, lambda each: F.when(F.forall(each, lambda p: p.isNotNull()), each))
 
 
 def satisfies(key: Column, requirement: Column) -> Column:
     """Whether a version, by its key, fulfils a requirement; null if either is unreadable."""
-    fits = F.exists(intervals(requirement), lambda i: (key >= i["low"]) & (key < i["high"]) & (is_release(key) | F.array_contains(i["pre"], triple(key))))
+    return within(key, intervals(requirement))
+
+
+def within(key: Column, ranges: Column) -> Column:
+    """The same by a requirement's ``intervals``, for requirements that many rows share."""
+    fits = F.exists(ranges, lambda i: (key >= i["low"]) & (key < i["high"]) & (is_release(key) | F.array_contains(i["pre"], triple(key))))
     return F.when(key.isNotNull(), fits)
 
 

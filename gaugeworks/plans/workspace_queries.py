@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..adapters import dealt
 from ..catalog import query
 from ..operators import issues, paths, trees, versions
 from ..operators.trees import duplicates
@@ -20,9 +21,10 @@ def key():
 def x17_requirements(t):
     """Which versions fulfil five requirements, a quarter of them pre-releases."""
     own = F.concat(F.col("p_size") % 3, F.lit("."), F.col("p_partkey") % 10, F.lit(".0"), F.when(F.col("p_size") % 4 == 0, "-rc.1").otherwise(""))
-    asked = [F.lit(r) for r in ("^1.5", "~1.5.0", ">=0.3, <1.2 || =2.*", ">=1.4.0-beta", "^0.7")]
-    rows = t("part").select("p_partkey", versions.version_key(own).alias("key"), F.explode(F.array(*asked)).alias("requirement"))
-    return rows.select("p_partkey", "requirement", versions.satisfies(F.col("key"), F.col("requirement")).alias("fits"))
+    asked = [F.struct(F.lit(r).alias("requirement"), versions.intervals(F.lit(r)).alias("ranges")) for r in ("^1.5", "~1.5.0", ">=0.3, <1.2 || =2.*", ">=1.4.0-beta", "^0.7")]
+    keyed = dealt(t("part").select("p_partkey", "p_size")).select("p_partkey", versions.version_key(own).alias("key"))
+    rows = keyed.select("p_partkey", "key", F.explode(F.array(*asked)).alias("asked"))
+    return rows.select("p_partkey", "asked.requirement", versions.within(F.col("key"), F.col("asked.ranges")).alias("fits"))
 
 
 def packages(t):

@@ -2,8 +2,9 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeworks.operators import patterns, stats, trees
+from gaugeworks.operators import issues, patterns, snapshots, stats, trees, versions
 from gaugeworks.plans import metric_queries, tree_queries
 from gaugeworks.sources.trees import nodes
 
@@ -45,3 +46,30 @@ def test_stats_and_patterns_broadcast_nothing(files):
 def test_lines_alone_equal_those_of_stats(files):
     want = stats.file_stats(files).select("path", *stats.LINES).toPandas().sort_values("path", ignore_index=True)
     pd.testing.assert_frame_equal(stats.file_lines(files).toPandas().sort_values("path", ignore_index=True), want)
+
+
+def test_comparators_are_read_once_each(spark):
+    frame = spark.range(1).selectExpr("cast(id AS string) AS key", "'^1.5 || >=2.0.0-a, <3' AS requirement")
+    plan = frame.select(versions.satisfies(F.col("key"), F.col("requirement")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") <= 12
+
+
+def test_issues_of_a_plugin_do_not_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([("a", "r", ""), ("b", "r", "")], "tool string, rule_key string, documentation_url string")
+        plugins = spark.createDataFrame([("a", "x/${rule}", "block", 0)], "tool string, url_template string, plugin_mode string, ordinal int")
+        runs = spark.createDataFrame([("a", 2)], "plugin string, exit_code int")
+        for df in (issues.documentation_urls(found, plugins), issues.plugin_modes(found.withColumn("mode", F.lit("none")), plugins), issues.drop_failed_plugins(found, runs)):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert [r["tool"] for r in issues.drop_failed_plugins(found, runs).collect()] == ["b"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rising_pairs_come_in_batches_of_paths(spark):
+    assert snapshots.rising([(3, 1), (0, 0), (1, 3), (2, 4)]) == [(0, 0), (1, 3), (2, 4)]
+    assert snapshots.rising([]) == []
+    one = spark.createDataFrame([("p", 0, "a", False), ("p", 1, "b", False)], "path string, at int, text string, open boolean")
+    plan = snapshots._anchors(one, one)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
