@@ -99,7 +99,7 @@ def triage(df: DataFrame, rules: list[TriageRule]) -> DataFrame:
 def drop_failed_plugins(df: DataFrame, invocations: DataFrame, ok=(0, 1)) -> DataFrame:
     """Issues of plugins none of whose invocations failed."""
     failed = invocations.where(~F.col("exit_code").isin(*ok)).select(F.col("plugin").alias("tool")).distinct()
-    return df.join(failed, "tool", "left_anti")
+    return df.join(F.broadcast(failed), "tool", "left_anti")  # few, and a shuffle by plugin would gather each one's issues in a task
 
 
 # ------------------------------------------------------------------ changed lines
@@ -140,13 +140,13 @@ def documentation_urls(df: DataFrame, plugins: DataFrame) -> DataFrame:
     first = plugins.groupBy("tool").agg(F.min_by("url_template", "ordinal").alias("_url"))
     made = F.replace("_url", F.lit("${rule}"), F.col("rule_key"))
     empty = F.coalesce(F.col("documentation_url"), F.lit("")) == ""
-    return df.join(first, "tool", "left").withColumn("documentation_url", F.when(empty, F.coalesce(made, F.lit(""))).otherwise(F.col("documentation_url"))).drop("_url")
+    return df.join(F.broadcast(first), "tool", "left").withColumn("documentation_url", F.when(empty, F.coalesce(made, F.lit(""))).otherwise(F.col("documentation_url"))).drop("_url")
 
 
 def plugin_modes(df: DataFrame, plugins: DataFrame) -> DataFrame:
     first = plugins.groupBy("tool").agg(F.min_by("plugin_mode", "ordinal").alias("_mode"))
     found = first.withColumn("_found", F.lit(True))  # a plugin without a mode of its own takes the mode away
-    return df.join(found, "tool", "left").withColumn("mode", F.when(F.col("_found"), F.col("_mode")).otherwise(F.col("mode"))).drop("_mode", "_found")
+    return df.join(F.broadcast(found), "tool", "left").withColumn("mode", F.when(F.col("_found"), F.col("_mode")).otherwise(F.col("mode"))).drop("_mode", "_found")
 
 
 def snippets(df: DataFrame, files: DataFrame, context: int = 10) -> DataFrame:
