@@ -47,11 +47,11 @@ def _lines(files: DataFrame) -> DataFrame:
     return rows.where(~(last & (F.col("text") == ""))).select("path", "at", "text", last.alias("open"))
 
 
-def rising(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a longest subsequence in which both ``old`` and ``new`` rise."""
-    frame = frame.sort_values("old", ignore_index=True)
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest subsequence of (old, new) in which both rise."""
+    pairs = sorted(pairs)
     ends, tops, back = [], [], []  # the least end of a run of each length, its row, and each row's predecessor
-    for i, x in enumerate(frame["new"].tolist()):
+    for i, (_, x) in enumerate(pairs):
         k = bisect_left(ends, x)
         back.append(tops[k - 1] if k else -1)
         ends[k : k + 1], tops[k : k + 1] = [x], [i]
@@ -59,13 +59,22 @@ def rising(frame: pd.DataFrame) -> pd.DataFrame:
     while i >= 0:
         keep.append(i)
         i = back[i]
-    return frame.iloc[keep[::-1]]
+    return [pairs[i] for i in reversed(keep)]
+
+
+def _rising(frames):
+    """Pairs of many paths, a row of lists each."""
+    for frame in frames:
+        out = [(p, rising([(x["old"], x["new"]) for x in pairs])) for p, pairs in zip(frame["path"], frame["pairs"], strict=True)]
+        rows = [(p, old, new) for p, kept in out for old, new in kept]
+        yield pd.DataFrame(rows, columns=["path", "old", "new"]).astype({"old": "Int32", "new": "Int32"})
 
 
 def _anchors(one: DataFrame, two: DataFrame) -> DataFrame:
     once = [x.groupBy("path", *LINE).agg(F.count("*").alias("n"), F.min("at").alias(name)).where("n = 1").drop("n") for x, name in ((one, "old"), (two, "new"))]
     pairs = once[0].join(once[1], ["path", *LINE]).select("path", "old", "new")
-    return pairs.groupBy("path").applyInPandas(rising, "path string, old int, new int")
+    lists = pairs.groupBy("path").agg(F.collect_list(F.struct("old", "new")).alias("pairs"))
+    return lists.mapInPandas(_rising, "path string, old int, new int")
 
 
 def _gaps(lines: DataFrame, anchors: DataFrame, side: str) -> DataFrame:
