@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..adapters import dealt
 from ..catalog import query
 from ..operators import offsets, patches
 from ..operators.issue_cache import DAY_MS, IssueCache
@@ -16,7 +17,7 @@ def key():
 
 def linted(t, contents: str, output: str):
     """A file a part and the tool's output on it; both are SQL expressions."""
-    rows = t("part").select("p_partkey", F.concat(F.lit("p"), key()).alias("path"), F.expr(contents).alias("contents"), F.expr(output).alias("output"))
+    rows = dealt(t("part")).select("p_partkey", F.concat(F.lit("p"), key()).alias("path"), F.expr(contents).alias("contents"), F.expr(output).alias("output"))
     return rows.select("path", "contents"), rows.select(key().alias("file"), "output")
 
 
@@ -85,7 +86,7 @@ def l07_fixed(t):
 @query("x09_bytes_and_places", "SELECT 'p' || p_partkey AS path, CAST(CASE WHEN p_size % 11 <= p_size % 5 THEN 3 * (p_size % 11) + 2 END AS BIGINT) AS at, CAST(CASE WHEN p_size % 11 <= p_size % 5 THEN p_size % 11 + 1 END AS BIGINT) AS line, CAST(CASE WHEN p_size % 11 <= p_size % 5 THEN 2 END AS BIGINT) AS column_ FROM part")
 def x09(t):
     """Lines and columns to bytes, and back by an as-of look-up; lines behind the last have none."""
-    rows = t("part").select(F.concat(F.lit("p"), key()).alias("path"), F.expr("repeat('é\n', p_size % 5 + 1)").alias("contents"), (F.col("p_size") % 11 + 1).cast("bigint").alias("l"))
+    rows = dealt(t("part")).select(F.concat(F.lit("p"), key()).alias("path"), F.expr("repeat('é\n', p_size % 5 + 1)").alias("contents"), (F.col("p_size") % 11 + 1).cast("bigint").alias("l"))
     index = offsets.line_index(rows)
     found = offsets.with_bytes(rows.select("path", "l", F.lit(2).alias("c")), index, "l", "c", "at")
     back = offsets.with_places(found.where("at IS NOT NULL").select("path", "at"), index, "at", "line", "column_")
