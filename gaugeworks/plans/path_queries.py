@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import FILES_SQL, ISSUES_SQL, STATS_SQL, files, issues, stats
+from ..adapters import FILES_SQL, ISSUES_SQL, STATS_SQL, dealt, files, issues, stats
 from ..catalog import query
 from ..functions import text as X
 from ..operators import coverage, paths
@@ -222,7 +222,7 @@ def tree(t):
     """Six files a part in nested directories, and the ignore files of the tree: rules of the root, of each third directory, and one that takes files back in."""
     names = F.array(*[F.lit(x) for x in ("a.py", "b.log", "keep.log", "build/x.o", "lib/build", ".git/config")])
     top = F.concat(F.lit("d"), F.pmod("p_partkey", F.lit(9)).cast("string"), F.lit("/p"), F.col("p_partkey").cast("string"))
-    files = t("part").withColumn("name", F.explode(names)).select(F.concat(top, F.lit("/"), "name").alias("path"), F.lit(10).cast("long").alias("size"), (F.col("p_size") % 10 == 0).alias("link"), "p_size")
+    files = dealt(t("part")).withColumn("name", F.explode(names)).select(F.concat(top, F.lit("/"), "name").alias("path"), F.lit(10).cast("long").alias("size"), (F.col("p_size") % 10 == 0).alias("link"), "p_size")
     files = files.withColumn("size", F.when((F.col("p_size") % 10 == 1) & F.col("path").endswith(".py"), 3_000_000).otherwise(F.col("size"))).drop("p_size")
     own = t("part").select(F.concat(F.lit("d"), F.pmod("p_partkey", F.lit(9)).cast("string")).alias("dir")).distinct().where("CAST(substring(dir, 2) AS int) % 3 = 0").select("dir", F.lit("!keep.log\n").alias("contents"))
     root = own.sparkSession.createDataFrame([("", "*.log\nbuild/\n# comment\n"), ("d1", "/p*/a.py\n"), ("d2", "*\n!b.log\n")], "dir string, contents string")
