@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -193,6 +194,26 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
+# ------------------------------------------------------------------ workers' memory
+
+
+def give_back() -> None:
+    """Memory that this worker's allocators hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """``run`` of a ``mapInArrow``, giving back what it leaves: a worker lives on, and its executor pays for it in later stages."""
+
+    def all_batches(batches):
+        yield from run(batches)
+        give_back()
+
+    return all_batches
+
+
 # ------------------------------------------------------------------ 64-bit hashing
 
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, materialize, mix, partitions, remainder, text_buffers, word_hashes
+from .common import give_back, id_type, lean, materialize, mix, partitions, remainder, text_buffers, word_hashes
 
 CHUNK_BYTES = 8 << 20
 FOLD = 3
@@ -119,7 +119,7 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str, held_out) -> DataFram
                 yield flush(fold)
 
     schema = f"chunk long, fold boolean, ids array<{kind}>, held array<boolean>, sizes array<long>, words binary, seq binary"
-    return materialize(rows.mapInArrow(run, schema), "chunks")
+    return materialize(rows.mapInArrow(lean(run), schema), "chunks")
 
 
 def _grams(words: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _requests(chunks: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 words, seq = expand_sorted(r["words"]), expand(r["seq"], np.uint32)
                 learn = np.repeat(~np.array(r["held"], bool), r["sizes"])
                 pairs, own = _grams(words, seq)
@@ -148,7 +148,7 @@ def _requests(chunks: DataFrame, bits: int) -> DataFrame:
                         rows.append((b, order, r["chunk"], r["fold"], squeeze_sorted(hashes[at]), squeeze(counts[at])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "order", "chunk", "fold", "hashes", "counts"])
 
-    return chunks.mapInArrow(run, "bucket int, order int, chunk long, fold boolean, hashes binary, counts binary")
+    return chunks.mapInArrow(lean(run), "bucket int, order int, chunk long, fold boolean, hashes binary, counts binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -156,18 +156,21 @@ def _answer(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     hashes = [expand_sorted(r["hashes"]) for r in rows]
     counts = [expand(r["counts"], np.uint32) for r in rows]
-    distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
-    flat = np.concatenate(counts).astype(np.float64)
-    folded = np.concatenate([np.full(len(c), r["fold"]) for r, c in zip(rows, counts, strict=True)])
-    total = np.bincount(number, weights=flat).astype(np.uint64)
-    fold = np.bincount(number, weights=flat * folded, minlength=len(distinct)).astype(np.uint64)
     cuts = np.cumsum([0, *map(len, hashes)])
+    distinct, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    total, fold = np.zeros(len(distinct), np.uint64), np.zeros(len(distinct), np.uint64)
+    del hashes, distinct
+    for r, c, a, b in zip(rows, counts, cuts, cuts[1:], strict=False):  # a chunk's hashes are distinct
+        total[number[a:b]] += c
+        if r["fold"]:
+            fold[number[a:b]] += c
     order, bucket = rows[0]["order"], rows[0]["bucket"]
     out = [(r["chunk"], bucket, order, r["fold"], squeeze(total[number[a:b]]), squeeze(fold[number[a:b]]) if r["fold"] else None, None, None, None) for r, a, b in zip(rows, cuts, cuts[1:], strict=False)]
     if order == 1:
         out.append((None, bucket, 0, False, None, None, int(total.sum()), int((total > 0).sum()), int(fold.sum())))
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     names = ["chunk", "bucket", "order", "fold", "total", "deleted", "n", "v", "n_fold"]
+    give_back()
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -204,7 +207,9 @@ def _paired(chunks: DataFrame, counts: DataFrame, run, schema: str) -> DataFrame
     answers = counts.where(F.col("chunk").isNotNull()).select("chunk", "bucket", "order", "total", "deleted")
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left.to_pylist()[0], right.to_pylist())
+        out = run(left.to_pylist()[0], right.to_pylist())
+        give_back()
+        return out
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(pair, schema)
 
