@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_PARTS, blocks, drop_rows, fresh, id_type, join_groups, keep_matching, materialize, mix, release, text_buffers, word_hashes
+from .common import HEAVY_PARTS, blocks, drop_rows, fresh, id_type, join_groups, keep_matching, lean, materialize, mix, release, text_buffers, word_hashes
 
 #: Ratio of a band's largest to its smallest size, as a power of the threshold.
 BAND_POWER = 3
@@ -267,7 +267,7 @@ def classes_of(rows: DataFrame, words: int, kind: str, slots: int) -> DataFrame:
             own = [pa.nulls(1, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), maps_type, maps_type)]
             yield pa.RecordBatch.from_arrays([*own, pa.array([often], kinds), pa.array([total[often]], kinds)], names=["id", "h", "n", "key", "bits", "brief", "slots", "counts"])
 
-    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {kind}, h long, n long, key long, bits array<long>, brief array<long>, slots array<int>, counts array<int>")
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(lean(run), f"id {kind}, h long, n long, key long, bits array<long>, brief array<long>, slots array<int>, counts array<int>")
 
 
 def _slot(s: np.ndarray, slots: int) -> np.ndarray:
@@ -306,7 +306,7 @@ def entries_of(rows: DataFrame, words: int, schemes: list[Scheme], classes: Data
                 own = [i for i, k in enumerate(keys) if k is not None and (k not in large or ids[lo + i] == large[k])]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in own], pa.int64()), pa.array([index.entries(sets[i], _rare(sets[i], often)) for i in own], pa.list_(pa.int64()))], names=["key", "entries"])
 
-    return rows.withColumn("p", _place()).mapInArrow(run, "key long, entries array<long>")
+    return rows.withColumn("p", _place()).mapInArrow(lean(run), "key long, entries array<long>")
 
 
 def _rare(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -341,7 +341,7 @@ def sets_of(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 own = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["key", "items"])
 
-    return rows.withColumn("p", _place()).mapInArrow(run, "key long, items binary")
+    return rows.withColumn("p", _place()).mapInArrow(lean(run), "key long, items binary")
 
 
 # ------------------------------------------------------------------ pairs
@@ -364,7 +364,7 @@ def _near(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             near = pa.array(np.flatnonzero(apart <= total * (rule.den - rule.num) // (rule.den + rule.num)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(apart).take(near)], names=["x", "y", "apart"])
 
-    return joined.mapInArrow(run, "x long, y long, apart int")
+    return joined.mapInArrow(lean(run), "x long, y long, apart int")
 
 
 def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -385,7 +385,7 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) ->
                     keep.append(i)
             yield batch.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
-    links = materialize(joined.select("x", "y", "a", "b").mapInArrow(run, "x long, y long"), "links")
+    links = materialize(joined.select("x", "y", "a", "b").mapInArrow(lean(run), "x long, y long"), "links")
     release(sets)
     return links
 
@@ -454,7 +454,7 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame | None, ru
         if rest is not None and rest.num_rows:
             yield from _groups(rest, rule, closest, last=True)[1]
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    return rows.mapInArrow(lean(run), "x long, y long").distinct()
 
 
 def _groups(batch: pa.RecordBatch, rule: Rule, closest: bool, last: bool):
