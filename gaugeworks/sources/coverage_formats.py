@@ -35,15 +35,32 @@ def _gather(lines: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.withColumn("hits", dense(F.col("rows"), F.coalesce("size", F.lit(0).cast("bigint")))).drop("rows", "size")
 
 
+def _fold_lines(rows: DataFrame, value) -> DataFrame:
+    """``hits`` from ``pairs``, an array of (line, k, n) a row; ``value`` folds those of one line, in the order of k.
+
+    A record stays in its row: nothing is shuffled, and a task holds one record at a time.
+    """
+    rows = rows.withColumn("pairs", F.array_sort(F.filter("pairs", lambda p: p["line"] > 0)))
+    rows = rows.withColumn("starts", F.array_compact(F.transform("pairs", lambda p, i: F.when((i == 0) | (F.get("pairs", i - 1)["line"] != p["line"]), i + 1))))
+    own = lambda s, i: F.slice("pairs", s, F.coalesce(F.get("starts", i + 1), F.size("pairs") + 1) - s)
+    rows = rows.withColumn("rows", F.transform("starts", lambda s, i: F.struct(F.get("pairs", s - 1)["line"].alias("line"), value(own(s, i)).alias("value"))))
+    return rows.withColumn("hits", dense(F.col("rows"), F.lit(0).cast("bigint"))).drop("pairs", "starts", "rows")
+
+
 def lcov(reports: DataFrame) -> DataFrame:
     """Records SF .. end_of_record; counts of a line are added; a bad number is an error."""
     records = reports.select("file", F.posexplode(F.split("content", "(^|\n)end_of_record")).alias("record", "body")).where(F.col("body").rlike("(^|\n)SF:"))
     records = records.select("file", "record", F.regexp_extract("body", "(?m)^SF:(.*)$", 1).alias("path"), F.regexp_extract_all("body", F.lit("(?m)^DA:(.*)$"), F.lit(1)).alias("rows"))
-    lines = records.select("file", "record", "path", F.explode_outer("rows").alias("row"))
-    parts = F.split("row", ",")
-    lines = lines.select("file", "record", "path", F.coalesce(F.trim(parts[0]).cast("bigint"), F.lit(0)).alias("line"), F.trim(F.get(parts, F.lit(1))).cast("bigint").alias("n"))
-    negative = F.when(F.col("n") < 0, F.raise_error(F.lit("negative hits"))).otherwise(F.col("n"))
-    return _gather(lines.withColumn("n", negative), ["file", "record", "path"], F.sum("n")).select("file", "path", "hits")
+
+    def pair(row: Column, k: Column) -> Column:
+        parts = F.split(row, ",")
+        n = F.trim(F.get(parts, F.lit(1))).cast("bigint")
+        return F.struct(F.coalesce(F.trim(parts[0]).cast("bigint"), F.lit(0)).alias("line"), k.alias("k"), F.when(n < 0, F.raise_error(F.lit("negative hits"))).otherwise(n).alias("n"))
+
+    def total(own: Column) -> Column:
+        return F.aggregate(own, F.lit(None).cast("bigint"), lambda sum_, p: F.coalesce(sum_ + p["n"], sum_, p["n"]))
+
+    return _fold_lines(records.select("file", "path", F.transform("rows", pair).alias("pairs")), total).select("file", "path", "hits")
 
 
 def native_jsonl(lines: DataFrame) -> DataFrame:
@@ -84,13 +101,23 @@ def xccov(reports: DataFrame) -> DataFrame:
 
 def coverprofile(reports: DataFrame) -> DataFrame:
     """Go profiles: each consecutive run of a file is a record; the first count that isn't 0 stands."""
-    rows = reports.select("file", F.posexplode(F.split("content", "\n")).alias("k", "row")).where("k > 0 AND row <> ''")
-    found = rows.select("file", "k", F.split_part("row", F.lit(":"), F.lit(1)).alias("path"), F.regexp_extract(F.split_part("row", F.lit(":"), F.lit(2)), r"^(\d+)\.?\d+,(\d+)\.?\d+ ?\d+ (\d+)", 1).alias("a"), F.regexp_extract(F.split_part("row", F.lit(":"), F.lit(2)), r"^(\d+)\.?\d+,(\d+)\.?\d+ ?\d+ (\d+)", 2).alias("b"), F.regexp_extract(F.split_part("row", F.lit(":"), F.lit(2)), r"^(\d+)\.?\d+,(\d+)\.?\d+ ?\d+ (\d+)", 3).alias("n")).where("a <> ''")
-    order = Window.partitionBy("file").orderBy("k")
-    found = found.withColumn("new", F.coalesce((F.lag("path").over(order) != F.col("path")).cast("int"), F.lit(1)))
-    found = found.withColumn("record", F.sum("new").over(order))
-    lines = found.select("file", "record", "path", "k", F.col("n").cast("bigint").alias("n"), F.explode(F.sequence(F.col("a").cast("bigint"), F.col("b").cast("bigint"))).alias("line"))
-    return _gather(lines, ["file", "record", "path"], F.coalesce(F.min_by(F.when(F.col("n") != 0, F.col("n")), F.when(F.col("n") != 0, F.col("k"))), F.lit(0).cast("bigint"))).select("file", "path", "hits")
+    block = r"^(\d+)\.?\d+,(\d+)\.?\d+ ?\d+ (\d+)"
+    place = lambda row: F.split_part(row, F.lit(":"), F.lit(2))
+    path = lambda row: F.split_part(row, F.lit(":"), F.lit(1))
+    text = F.split("content", "\n")
+    rows = reports.select("file", F.filter(text, lambda row, k: (k > 0) & (row != "") & place(row).rlike(block)).alias("rows"))
+    rows = rows.withColumn("starts", F.array_compact(F.transform("rows", lambda row, i: F.when((i == 0) | (path(F.get("rows", i - 1)) != path(row)), i + 1))))
+    runs = F.transform("starts", lambda s, i: F.slice("rows", s, F.coalesce(F.get("starts", i + 1), F.size("rows") + 1) - s))
+    runs = rows.select("file", F.explode(runs).alias("rows")).withColumn("path", path(F.get("rows", F.lit(0))))
+
+    def pairs(row: Column, k: Column) -> Column:
+        a, b, n = (F.regexp_extract(place(row), block, i).cast("bigint") for i in (1, 2, 3))
+        return F.transform(F.sequence(a, b), lambda line: F.struct(line.alias("line"), k.alias("k"), n.alias("n")))
+
+    def first(own: Column) -> Column:
+        return F.coalesce(F.get(F.filter(own, lambda p: p["n"] != 0), F.lit(0))["n"], F.lit(0).cast("bigint"))
+
+    return _fold_lines(runs.select("file", "path", F.flatten(F.transform("rows", pairs)).alias("pairs")), first).select("file", "path", "hits")
 
 
 def _xml(content: str, schema: str, row_tag: str) -> Column:
