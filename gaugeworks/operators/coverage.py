@@ -87,8 +87,8 @@ def strip_prefix(path, prefix: str):
 def fix_path(path):
     """Slashes for back-slashes, no drive, and the first CI prefix that matches removed."""
     unix = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^.:/", "")
-    tried = [F.when(unix.rlike(p), F.regexp_replace(unix, p, "")) for p in CI_PREFIXES]
-    return F.coalesce(*tried, unix)
+    first = "|".join(f"(?:{p})" for p in CI_PREFIXES)  # all begin at ^, so the first that matches is taken, once
+    return F.regexp_replace(unix, first, "")
 
 
 def strip_dot_slash(path):
