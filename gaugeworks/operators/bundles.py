@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +83,12 @@ def write_bundle(path: str, numbered: dict[str, DataFrame], whole: dict[str, Dat
     for name, df, size in [*((n, d, sizes[n]) for n, d in numbered.items()), *((n, d, None) for n, d in whole.items())]:
         rows = _parts(df, name, size)
         counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}  # a row for each part
-        dealt = rows.repartition("file") if size is not None else rows.coalesce(1)
-        dealt.sortWithinPartitions("file", "position").select("file", "value").write.partitionBy("file").text(f"{work}/{name}.parts")
-        for folder in fs.listStatus(_path(spark, f"{work}/{name}.parts")):
-            made = [x for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")] if folder.isDirectory() else []
-            if not made:
-                continue
-            file = folder.getPath().getName().removeprefix("file=")
-            if len(made) != 1 or not fs.rename(made[0].getPath(), _path(spark, f"{work}/{file}")):
-                raise OSError(f"part {file} of {target} isn't one file")
-            parts.append({"name": file, "rows": counts[file], "bytes": made[0].getLen()})
+        # a number given isn't lowered: making files takes longer than their few bytes tell
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rows.repartition(tasks, "file") if size is not None else rows.coalesce(1)
+        # tasks move their own files at once: the bundle isn't published before all are there
+        dealt.sortWithinPartitions("file", "position").select("file", "value").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(f"{work}/{name}.parts")
+        parts += _named(spark, work, f"{name}.parts", counts)
         fs.delete(_path(spark, f"{work}/{name}.parts"), True)
         if size is None and f"{name}.jsonl" not in counts:
             parts.append({"name": f"{name}.jsonl", "rows": 0, "bytes": _put(spark, f"{work}/{name}.jsonl", "")})
@@ -103,6 +100,20 @@ def write_bundle(path: str, numbered: dict[str, DataFrame], whole: dict[str, Dat
     return parts
 
 
+def _named(spark: SparkSession, work: str, folder: str, counts: dict[str, int]) -> list[dict]:
+    """Move ``folder``/file=NAME/part-... to NAME, several at once, and return what the manifest says of each."""
+    fs, path = _fs(spark, work), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def move(file: str) -> dict:
+        made = [x for x in fs.listStatus(path(f"{work}/{folder}/file={file}")) if x.getPath().getName().startswith("part-")]
+        if len(made) != 1 or not fs.rename(made[0].getPath(), path(f"{work}/{file}")):
+            raise OSError(f"part {file} in {work} isn't one file")
+        return {"name": file, "rows": counts[file], "bytes": made[0].getLen()}
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(move, counts))
+
+
 def manifest(spark: SparkSession, path: str) -> list[dict]:
     text = "\n".join(r["value"] for r in spark.read.text(f"{path.rstrip('/')}/manifest.json", wholetext=True).collect())  # a row for each part
     return json.loads(text)["parts"]
