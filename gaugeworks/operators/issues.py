@@ -122,10 +122,13 @@ def mark_added(df: DataFrame, added: DataFrame, new_files: DataFrame | None = No
     high = F.least(F.col("last") - F.col("cell") * width, F.lit(width - 1)).cast("int")
     mask = F.expr("shiftleft(-1L, low) & shiftrightunsigned(-1L, 63 - high)")
     hits = spans.withColumns({"low": low, "high": high}).join(cells, ["path", "cell"]).where(mask.bitwiseAND(F.col("bits")) != 0)
-    hits = hits.select("path", "start_line", "last").distinct().withColumn("_hit", F.lit(True))
-    touched = added.select("path").distinct().withColumn("_path_hit", F.lit(True))
-    out = rows.withColumn("last", last).join(hits, ["path", "start_line", "last"], "left").join(touched, "path", "left")
-    flag = F.when(F.col("path").isNull(), True).when(F.col("start_line").isNull(), F.coalesce("_path_hit", F.lit(False))).otherwise(F.coalesce("_hit", F.lit(False)))
+    rangeless = rows.where("path IS NOT NULL AND start_line IS NULL").select("path", "start_line", last.alias("last")).distinct()
+    rangeless = rangeless.join(added.select("path").distinct(), "path", "left_semi")
+    hits = hits.select("path", "start_line", "last").distinct().unionByName(rangeless)
+    hits = hits.select(F.col("path").alias("_path"), F.col("start_line").alias("_start"), F.col("last").alias("_last"), F.lit(True).alias("_hit"))
+    same = (F.col("path") == F.col("_path")) & F.col("start_line").eqNullSafe(F.col("_start")) & F.col("last").eqNullSafe(F.col("_last"))
+    out = rows.withColumn("last", last).join(hits, same, "left")  # the only shuffle of whole rows
+    flag = F.when(F.col("path").isNull(), True).otherwise(F.coalesce("_hit", F.lit(False)))
     if new_files is not None:
         out = out.join(new_files.select("path").distinct().withColumn("_new", F.lit(True)), "path", "left")
         flag = flag | F.coalesce("_new", F.lit(False))
