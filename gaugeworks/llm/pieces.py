@@ -5,7 +5,7 @@ escaped as the model says (a space before it, spaces as U+2581) and cut into uni
 a run of U+2581 with what follows up to the next; no piece crosses that border (checked
 when the model is read), so units are encoded on their own, distinct ones once.
 
-Units of equal length advance together: hashes of all substrings of a length probe the
+Units of about equal length advance together, the longest first: hashes of all substrings of a length probe the
 sorted keys of that length's pieces; at each end a vectorised maximum over lengths is
 stored as a back-pointer. What is maximised depends on the model's type:
 
@@ -40,7 +40,8 @@ from .common import IdCache, blocks, id_type, mix, power_tables, text_buffers
 SPACE = "▁"
 BPE = 2  # the model type of merges, as the file format numbers it
 PAIR_SLOTS = 1 << 20
-CELLS = 1 << 19  # most code points of one batch of equally long units
+CELLS = 1 << 19  # most code points of one batch of units
+CLOSE = 9  # units shorter than this go in a batch of their own
 
 
 def _hashes(points: np.ndarray) -> np.ndarray:
@@ -165,12 +166,13 @@ class Pieces:
         hit = keys[at] == found
         return np.where(hit, scores[at], -np.inf), np.where(hit, ids[at], -1)
 
-    def _by_scores(self, probes: dict, rows: int, n: int) -> np.ndarray:
+    def _by_scores(self, probes: dict, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = probes[1][0]
         one[np.isneginf(one)] = self.unknown
+        rows, n = live[0], len(live) - 1
         best = np.full((rows, n + 1), -np.inf)
         best[:, 0] = 0
-        back = np.zeros((rows, n + 1), np.int64)
+        back, last = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1, np.int64)
         order = sorted(probes, reverse=True)  # the first maximum is the longest piece
         for end in range(1, n + 1):
             fit = [s for s in order if s <= end]
@@ -178,19 +180,23 @@ class Pieces:
             pick = reach.argmax(axis=0)
             best[:, end] = reach[pick, np.arange(rows)]
             back[:, end] = np.array(fit)[pick]
-        return back
+            last[:, end] = np.stack([probes[s][1][:, end - s] for s in fit])[pick, np.arange(rows)]
+        return back, last
 
-    def _by_merges(self, probes: dict, rows: int, n: int) -> np.ndarray:
+    def _by_merges(self, probes: dict, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, n = live[0], len(live) - 1
         last = np.full((rows, n + 1), -1, np.int64)  # last piece of each prefix
         back = np.zeros((rows, n + 1), np.int64)
         for end in range(1, n + 1):
-            open_rows = np.arange(rows)
+            open_rows = np.arange(live[end])
             for s in sorted((s for s in probes if s <= end), reverse=True):
                 piece = probes[s][1][open_rows, end - s]
                 able = self.whole[np.maximum(piece, 0)] & (piece >= 0)
                 if s == 1:
                     able |= piece < 0
                 own, piece = open_rows[able], piece[able]
+                if len(own) == 0:
+                    continue
                 if end > s:
                     fits = self._agree(last[own, end - s], piece)
                     own, piece = own[fits], piece[fits]
@@ -200,38 +206,36 @@ class Pieces:
                     break
             if len(open_rows):
                 raise ValueError("a prefix without a last piece")
-        return back
+        return back, last
 
-    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, number of ids) of equally long units, rows of ``points``."""
+    def viterbi(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids) of units, rows of ``points``, the longest first; what follows a unit in its row counts for nothing."""
         rows, n = points.shape
+        live = np.searchsorted(-lengths, -np.arange(n + 1), "right")  # rows that reach each end
         sums = _hashes(points)
         sizes = [s for s in self.tables if s <= n]
         if 1 not in sizes:
             sizes.insert(0, 1)
         probes = {s: self._probe(sums, s) for s in sizes}
-        back = self._by_merges(probes, rows, n) if self.merges else self._by_scores(probes, rows, n)
+        back, last = self._by_merges(probes, live) if self.merges else self._by_scores(probes, live)
         chosen = np.full((rows, n), -2, np.int64)  # id of the piece that starts there; -1: bytes
-        at = np.full(rows, n)
-        live = np.arange(rows)
-        while len(live):
-            size = back[live, at[live]]
-            at[live] -= size
-            for s in np.unique(size):
-                own = live[size == s]
-                chosen[own, at[own]] = probes[s][1][own, at[own]]
-            live = live[at[live] > 0]
-        out, counts = [], np.zeros(rows, np.int64)
-        spelled = (chosen == -1).any(axis=1)
-        for i in range(rows):
-            ids = chosen[i][chosen[i] != -2]
-            if spelled[i]:
-                marks = np.flatnonzero(chosen[i] != -2)
-                parts = [self.byte_ids[list(chr(points[i, m]).encode())] if k < 0 else [k] for m, k in zip(marks.tolist(), ids.tolist(), strict=True)]
-                ids = np.concatenate(parts)
-            out.append(ids.astype(np.uint32))
-            counts[i] = len(ids)
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), counts
+        at, own = lengths.copy(), np.arange(rows)
+        while len(own):
+            end = at[own]
+            at[own] = end - back[own, end]
+            chosen[own, at[own]] = last[own, end]
+            own = own[at[own] > 0]
+        row, place = np.nonzero(chosen != -2)
+        ids = chosen[row, place]
+        spelled = np.flatnonzero(ids == -1)
+        if len(spelled):
+            parts = [self.byte_ids[list(chr(c).encode())] for c in points[row[spelled], place[spelled]].tolist()]
+            sizes = np.ones(len(ids), np.int64)
+            sizes[spelled] = list(map(len, parts))
+            first = (np.cumsum(sizes) - sizes)[spelled]
+            ids, row = np.repeat(ids, sizes), np.repeat(row, sizes)
+            ids[np.concatenate([np.arange(a, a + len(p)) for a, p in zip(first.tolist(), parts, strict=True)])] = np.concatenate(parts)
+        return ids.astype(np.uint32), np.bincount(row, minlength=rows)
 
     def _learn(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if self.merges:
@@ -241,14 +245,17 @@ class Pieces:
                 ids = np.concatenate([[self.ids[t]] if t in self.ids else self.byte_ids[list(t.encode())] for t in parts]).astype(np.uint32)
                 self.cache.add(keys[k : k + 1], ids, np.array([len(ids)]))
             keys, starts, ends = keys[~runs], starts[~runs], ends[~runs]
-        lengths = ends - starts
-        for n in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == n)
-            step = max(1, CELLS // n)
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                ids, sizes = self.viterbi(points[starts[part][:, None] + np.arange(n)])
-                self.cache.add(keys[part], ids, sizes)
+        order = np.argsort(starts - ends, kind="stable")
+        keys, starts, lengths = keys[order], starts[order], (ends - starts)[order]
+        at = 0
+        while at < len(keys):
+            n = int(lengths[at])
+            least = min(n, max(CLOSE, n - n // 4) if n >= CLOSE else 1)  # units nearly as long go along
+            end = min(int(np.searchsorted(-lengths, -least, "right")), at + max(1, CELLS // n))
+            part = starts[at:end, None] + np.arange(n)
+            ids, sizes = self.viterbi(points[np.minimum(part, len(points) - 1)], lengths[at:end])
+            self.cache.add(keys[at:end], ids, sizes)
+            at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         escaped = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
