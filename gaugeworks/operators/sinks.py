@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of an exported file and the largest string exported as it is.
@@ -26,6 +26,11 @@ def part_files(placed: DataFrame, table: str) -> DataFrame:
     return placed.withColumn("file", F.concat(F.lit(f"{table}-"), F.lpad(part, width, F.lit("0")), F.lit(".jsonl")))
 
 
+def short_numbers(file: Column, digits: int = 3) -> Column:
+    """Names of numbered parts with the first ``digits`` digits of each number alone: a label, as several parts share one."""
+    return F.regexp_replace(file, f"-([0-9]{{{digits}}})[0-9]*([.]jsonl)$", "-$1$2")
+
+
 def write_parts(placed: DataFrame, path: str, table: str) -> None:
     """JSON lines of a table with ``position``, one folder a numbered file; a part is one task's, however many there are."""
     rows = part_files(placed, table)
