@@ -20,7 +20,8 @@ Matching never lists embeddings, whose number can be a product over siblings. Bo
 nodes that can stand for each part of a pattern are found by equi-joins on (path, parent): a
 part is reached if the earliest place of the part before it lies ahead. Top-down and from the
 last part to the first the same is asked of what follows, so what stays occurs in some match.
-Each join moves nodes of the pattern's kinds only.
+Each join moves nodes of the pattern's kinds only. Sources at hand are matched file by file in
+the task that parses them instead (``source_captures``), so that their nodes aren't moved at all.
 
 Defined cases: equal captures of several patterns are rows of each; a null path is a path of
 its own; a table without nodes gives no rows; a pattern that can't be read is an error that
@@ -35,6 +36,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.trees import nodes, per_text, python_nodes
 from ..storage import stored
 
 # Names that the Python grammar gives to kinds of the node table.
@@ -305,6 +307,45 @@ def all_captured(table: DataFrame, patterns: list[str], limit: int | None = None
     return found.where("start_byte IS NOT NULL").select("path", "start_byte", "end_byte").distinct()
 
 
+def split(patterns: list[str]) -> tuple[list[int], list[int]]:
+    """Numbers of the patterns that can be matched while a file is parsed, and of the others."""
+    from .matching import plain
+
+    known = [plain(read(p)[1]) for p in patterns]
+    return [k for k, here in enumerate(known) if here], [k for k, here in enumerate(known) if not here]
+
+
+def source_captures(files: DataFrame, patterns: list[str], limit: int | None = None, texts: bool = True) -> DataFrame:
+    """``captures`` of Python sources (path, contents), each file matched in the task that parses it.
+
+    Rows of one path's several files stay apart. Without ``texts`` that column is null.
+    """
+    from .matching import Nodes, Pattern
+
+    here, there = split(patterns)
+    parts, ready = [(k, read(patterns[k])) for k in here], {}
+
+    def make(text):
+        tree, out = Nodes(python_nodes("", text, None), text), []
+        for k, found in parts:
+            if k not in ready:
+                ready[k] = Pattern(*found)
+            for root, capture, x in ready[k].matches(tree, limit):
+                out.append((k, root, capture, x[0], x[4], x[5], tree.text(x) if texts else None))
+        return list(zip(*out, strict=True)) or [()] * 7
+
+    columns = [c.split()[0] for c in CAPTURES.split(", ")]
+    form = ", ".join(c for c in CAPTURES.split(", ") if not c.startswith("path "))
+    found = per_text(files, make, form).select(columns) if here else None
+    if there:
+        kept = stored(files.select("path", "contents"), "pattern-files")
+        table = stored(pattern_nodes(nodes(kept, "python", digests=False, columns=COLUMNS), kept), "pattern-nodes")
+        number = F.array(*[F.lit(k) for k in there])[F.col("pattern")]
+        rest = captures(table, [patterns[k] for k in there], limit).withColumn("pattern", number).select(columns)
+        found = rest if found is None else found.unionByName(rest)
+    return files.sparkSession.createDataFrame([], CAPTURES) if found is None else found
+
+
 # ------------------------------------------------------------------ exclusion of subtrees
 
 

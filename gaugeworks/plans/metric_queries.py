@@ -122,18 +122,14 @@ SHAPES = [
   UNION ALL SELECT path, 5, unnest(['i', 'c']), 1 FROM m) SELECT path, pattern, capture, CAST(n AS BIGINT) AS n FROM c""")
 def t02(t):
     """Captures of six patterns in each file."""
-    files = stored(programs(t), "programs")
-    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False, columns=patterns.COLUMNS), files), "pattern-nodes")
-    return patterns.captures(table, SHAPES).groupBy("path", "pattern", "capture").agg(F.count("*").alias("n"))
+    return patterns.source_captures(programs(t), SHAPES, texts=False).groupBy("path", "pattern", "capture").agg(F.count("*").alias("n"))
 
 
 @query("t02_captured_names", f"""{M} SELECT path, '__init__' AS name, CAST(5 AS BIGINT) AS parent_kind FROM m WHERE false
   UNION ALL SELECT path, unnest(['__init__', 'get']), 1 FROM m UNION ALL SELECT path, 'f' || i, 0 FROM m, range(3) r(i) WHERE i < m""")
 def t02_names(t):
     """Names that a pattern of methods (1) and one of functions outside classes (0) capture."""
-    files = stored(programs(t), "programs")
-    table = stored(patterns.pattern_nodes(nodes(files, "python", digests=False, columns=patterns.COLUMNS), files), "pattern-nodes")
-    found = patterns.captures(table, ['(module (function_definition name: (identifier) @name (#not-match? @name "^test")))', "(class_definition (function_definition name: (identifier) @name))"])
+    found = patterns.source_captures(programs(t), ['(module (function_definition name: (identifier) @name (#not-match? @name "^test")))', "(class_definition (function_definition name: (identifier) @name))"])
     return found.select("path", F.col("text").alias("name"), F.col("pattern").cast("bigint").alias("parent_kind"))
 
 
