@@ -7,8 +7,8 @@ the outer one too. What ``excluded`` patterns capture (test code, say) counts no
 the total of lines: its lines are blank, its functions have no rows.
 
 Files are told apart by a number of their own, so a path may occur more than once, or be
-null. Lines before and inside functions are counted by one sweep a file over token marks and
-the ends of functions, not by a join on ranges.
+null. A file is parsed, matched with patterns and told its lines in one pass; what leaves it are
+the nodes that metrics read, with the lines of each function.
 
 Defined cases: null contents give no rows; a source that doesn't parse has lines but no
 counts (null); an empty file has no line; lines end at line feeds only; functions of equal
@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import io
 import tokenize
+from bisect import bisect_left, bisect_right
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.trees import BATCH_ROWS, nodes
+from ..sources.trees import NAMES, NODES, nodes, per_text, python_nodes
 from ..storage import stored
 from . import patterns, trees
+from .matching import Nodes, Pattern, Ranges
 
 SKIPPED = (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING)
 LINES = ("lines", "code_lines", "comment_lines", "blank_lines")
@@ -60,32 +62,15 @@ def line_kinds(text: str) -> list[str]:
     return kinds
 
 
-def _marks(files: DataFrame, ranges: DataFrame | None) -> DataFrame:
-    """(path, line, code, comment): marked lines, without what lies in ``ranges``."""
-    whole = ranges is not None
+def _kept_lines(text: str, ranges: Ranges) -> tuple[list[int], list[int]]:
+    """Numbers of the lines with code and of those with comments alone, without what lies in ``ranges``."""
+    marks = [(m[0], m[3]) for m in token_marks(text) if not ranges.hold(m[1], m[2])]
+    code = {line for line, comment in marks if not comment}
+    return sorted(code), sorted({line for line, comment in marks if comment} - code)
 
-    def run(batches):
-        import pyarrow as pa
 
-        form = pa.schema([("path", pa.string()), ("line", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32()), ("comment", pa.bool_())])
-        rows = []
-        for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                marks = token_marks(text)
-                if not whole:
-                    marks = {(m[0], m[3]): m for m in marks}.values()
-                rows += [(path, *m) for m in marks]
-                if len(rows) >= BATCH_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
-
-    rows = files.where("contents IS NOT NULL").select("path", "contents").mapInArrow(run, "path string, line int, start_byte int, end_byte int, comment boolean")
-    if whole:
-        rows = patterns.exclude(rows, ranges)
-    code = F.max((~F.col("comment")).cast("int"))
-    return rows.groupBy("path", "line").agg(code.alias("code"), (1 - code).alias("comment"))
+def _line_count(text: str) -> int:
+    return text.count("\n") + (text != "" and not text.endswith("\n"))
 
 
 def _lines(total, code, comment) -> list:
@@ -93,39 +78,74 @@ def _lines(total, code, comment) -> list:
     return [v.cast("bigint").alias(n) for v, n in zip(values, LINES, strict=True)]
 
 
-#: Columns of the node table that stats read, and those that patterns and exclusion need besides.
-COLUMNS = ("path", "enter", "leave", "parent", "depth", "kind", "class", "name", "note", "caller", "start_line", "end_line")
-PLACES = ("position", "field", "start_byte", "end_byte")
+#: Columns of the node table that metrics read, and those that are known of a file and of a function besides: the innermost class, the first parameter, lines.
+COLUMNS = ("enter", "leave", "parent", "depth", "kind", "class", "name", "note", "caller", "start_line", "end_line")
+MORE = "whole boolean, owner string, first string, total int, code int, comment int"
+ENTER, PARENT, DEPTH, KIND, CLASS, NAME, FIRST, LAST, START, END = (NAMES.index(c) for c in ("enter", "parent", "depth", "kind", "class", "name", "start_line", "end_line", "start_byte", "end_byte"))
 
 
 def _numbered(files: DataFrame) -> DataFrame:
     """Files by number (``path``) with their own path (``named``)."""
-    keyed = files.where("contents IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("path"), F.col("path").alias("named"), "contents")
-    return stored(keyed, "stats-files")
+    return files.where("contents IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("path"), F.col("path").alias("named"), "contents")
+
 
+def _ranged(keyed: DataFrame, excluded: list[str]) -> tuple[DataFrame, list[str]]:
+    """Files with ``ranges`` of what those patterns capture that can't be matched while parsing, and the patterns that can."""
+    here, there = patterns.split(excluded)
+    if not there:
+        return keyed.withColumn("ranges", F.lit("")), excluded
+    keyed = stored(keyed, "stats-files")
+    table = stored(patterns.pattern_nodes(nodes(keyed, "python", digests=False, columns=patterns.COLUMNS), keyed), "pattern-nodes")
+    found = patterns.all_captured(table, [excluded[k] for k in there]).groupBy("path").agg(F.concat_ws(" ", F.sort_array(F.collect_list(F.concat_ws("-", "start_byte", "end_byte")))).alias("ranges"))
+    return keyed.join(found.hint("merge"), "path", "left").withColumn("ranges", F.coalesce("ranges", F.lit(""))), [excluded[k] for k in here]
 
-def _prepared(files: DataFrame, excluded: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Files by number (``path``) with their own path (``named``), their nodes, all nodes, and line marks; without what is excluded."""
-    keyed = _numbered(files)
-    whole = stored(nodes(keyed, "python", digests=False, columns=COLUMNS + (PLACES if excluded else ())), "stats-nodes")
-    if not excluded:
-        return keyed, whole, whole, _marks(keyed, None)
-    ranges = stored(patterns.all_captured(stored(patterns.pattern_nodes(whole, keyed), "pattern-nodes"), excluded), "stats-ranges")
-    return keyed, stored(patterns.exclude(whole, ranges), "stats-kept"), whole, _marks(keyed, ranges)
 
+def _table(files: DataFrame, excluded: list[str], metrics: bool = True) -> DataFrame:
+    """A row for each file (``kind`` is null; ``whole`` if it parses), and its nodes that metrics or names read, without what is excluded.
 
-def _file_lines(keyed: DataFrame, marks: DataFrame) -> DataFrame:
-    text = F.col("contents")
-    total = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + ((text != "") & ~text.endswith("\n")).cast("int")
-    sums = marks.groupBy("path").agg(F.sum("code").alias("code"), F.sum("comment").alias("comment"))
-    rows = keyed.select("path", "named", total.alias("n")).join(sums.hint("merge"), "path", "left")
-    return rows.select("path", "named", *_lines(F.col("n"), F.coalesce("code", F.lit(0)), F.coalesce("comment", F.lit(0))))
+    One pass reads a file, matches patterns in it and drops what they capture, so that neither
+    tokens nor other nodes leave the task. Without ``metrics`` only functions are listed, and no lines.
+    """
+    files, here = _ranged(_numbered(files), excluded)
+    parts, ready = [patterns.read(f"{p} @the-capture") for p in here], []
+    chosen = [NAMES.index(c) for c in COLUMNS]
+
+    def make(text, given):
+        rows = python_nodes("", text, None)
+        if not ready:
+            ready.extend(Pattern(*p) for p in parts)
+        tree = Nodes(rows, text) if ready and rows else None
+        ranges = Ranges([tuple(map(int, r.split("-"))) for r in given.split()] + [(x[4], x[5]) for p in ready if tree for _, _, x in p.matches(tree) if x[4] is not None])
+        code, comment = _kept_lines(text, ranges) if metrics else ([], [])
+        out = [(-1, *[None] * (len(COLUMNS) - 1), bool(rows), None, None, _line_count(text), len(code), len(comment))]
+        owners, firsts, lists = {}, {}, {}
+        for r in rows:
+            owners[r[ENTER]] = r[NAME] if r[CLASS] == "class" else owners.get(r[PARENT])
+            if r[KIND] == "arguments":
+                lists[r[ENTER]] = r[PARENT]
+            elif r[KIND] == "arg" and r[PARENT] in lists:
+                firsts.setdefault(lists[r[PARENT]], r[NAME])
+        for r in rows:
+            function = r[CLASS] == "function"
+            # what metrics read: classed nodes, the root, self
+            if not (function or metrics and (r[CLASS] is not None or r[DEPTH] == 0 or r[KIND] == "Name" and r[NAME] == "self")) or ranges.starts and ranges.hold(r[START], r[END]):
+                continue
+            lines = [r[LAST] - r[FIRST] + 1, *(bisect_right(x, r[LAST]) - bisect_left(x, r[FIRST]) for x in (code, comment))] if function else [None] * 3
+            out.append((*(r[c] for c in chosen), None, owners[r[ENTER]] if function else None, firsts.get(r[ENTER]) if function else None, *lines))
+        return list(zip(*out, strict=True))
+
+    types = dict(c.split() for c in NODES.split(", "))
+    return per_text(files, make, ", ".join(f"{c} {types[c]}" for c in COLUMNS) + ", " + MORE, ("path", "named"), ("ranges",))
 
 
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, lines, code_lines, comment_lines, blank_lines) of each file; no tree is built."""
-    keyed = _numbered(files)
-    return _file_lines(keyed, _marks(keyed, None)).select(F.col("named").alias("path"), *LINES)
+
+    def make(text):
+        return [[_line_count(text)], *([len(x)] for x in _kept_lines(text, Ranges([])))]
+
+    counted = per_text(files, make, "total int, code int, comment int")
+    return counted.select("path", *_lines(*(F.col(c) for c in ("total", "code", "comment"))))
 
 
 def file_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -133,9 +153,9 @@ def file_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame
 
     A file's counts are null only if it doesn't parse; one whose nodes are all excluded has none of each.
     """
-    keyed, tree, whole, marks = _prepared(files, excluded or [])
-    rows = _file_lines(keyed, marks)
-    rows = rows.join(whole.where("parent IS NULL").select("path", F.lit(0).cast("bigint").alias("parsed")).hint("merge"), "path", "left")
+    table = stored(_table(files, excluded or []), "stats-nodes")
+    tree = table.where("kind IS NOT NULL")
+    rows = table.where("kind IS NULL").select("path", "named", F.when(F.col("whole"), F.lit(0)).cast("bigint").alias("parsed"), *_lines(*(F.col(c) for c in ("total", "code", "comment"))))
     for part in (trees.counts(tree), trees.cyclomatic(tree), trees.cognitive(tree), trees.lcom4(tree)):
         rows = rows.join(part.hint("merge"), "path", "left")  # sizes of compressed tables say little, so nothing is broadcast
     # a file that parses has its own minimum of each even if all of it is excluded
@@ -143,13 +163,8 @@ def file_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame
     return rows.select(F.lit("FILE").alias("kind"), F.col("named").alias("fully_qualified_name"), F.col("named").alias("path"), F.lit(1).cast("bigint").alias("files"), *counts, *LINES)
 
 
-def _lines_within(functions: DataFrame, marks: DataFrame) -> DataFrame:
-    """(path, function, code, comment) between the lines of each function, by one sweep a file."""
-    ends = [functions.select("path", "function", line.alias("line"), F.lit(side).alias("side"), F.lit(0).alias("code"), F.lit(0).alias("comment")) for side, line in ((-1, F.col("start_line")), (1, F.col("end_line")))]
-    own = marks.select("path", F.lit(None).cast("int").alias("function"), "line", F.lit(0).alias("side"), "code", "comment")
-    so_far = Window.partitionBy("path").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = own.unionByName(ends[0]).unionByName(ends[1]).select("path", "function", "side", F.sum("code").over(so_far).alias("code"), F.sum("comment").over(so_far).alias("comment"))
-    return swept.where("side <> 0").groupBy("path", "function").agg(*[F.sum(F.col("side") * F.col(c)).alias(c) for c in ("code", "comment")])
+def _full_name():
+    return F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat("owner", F.when(F.coalesce(F.col("first") == "self", F.lit(False)), F.lit("#")).otherwise(F.lit("::")), "name"))
 
 
 def function_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
@@ -157,22 +172,15 @@ def function_stats(files: DataFrame, excluded: list[str] | None = None) -> DataF
 
     The name is qualified by the innermost class that holds the function, with ``#`` if its first parameter is self.
     """
-    keyed, tree, whole, marks = _prepared(files, excluded or [])
-    owners = trees.innermost(whole.where("class IN ('class', 'function')"), "class", "owner", "name").where("class = 'function'").select("path", F.col("enter").alias("function"), "owner")
-    is_arg = F.col("kind") == "arg"
-    lists = whole.where("kind IN ('arguments', 'arg')").groupBy("path", F.when(is_arg, F.col("parent")).otherwise(F.col("enter")).alias("up"))
-    lists = lists.agg(F.max(F.when(~is_arg, F.col("parent"))).alias("function"), F.min_by(F.when(is_arg, F.col("name")), F.when(is_arg, F.col("enter"))).alias("first"))
-    selfs = lists.where("first IS NOT NULL AND function IS NOT NULL").select("path", "function", (F.col("first") == "self").alias("instance"))
-    functions = tree.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", "start_line", "end_line")
-    rows = functions.join(owners.hint("merge"), ["path", "function"]).join(selfs.hint("merge"), ["path", "function"], "left")
-    inside = stored(trees.enclosing(tree.where("class IS NOT NULL"), "function", "function"), "stats-inside")
+    table = stored(_table(files, excluded or []), "stats-nodes")
+    rows = table.where("class = 'function'").select("path", F.col("enter").alias("function"), "name", _full_name().alias("full"), "named", "start_line", "total", "code", "comment")
+    inside = table.where("class IS NOT NULL").select("path", "enter", "leave", "depth", "class", "name", "note", "caller")
+    inside = stored(trees.enclosing(inside, "function", "function"), "stats-inside")
     fields = F.count_distinct(F.when((F.col("class") == "field") & ~F.col("note").eqNullSafe("called"), F.col("name")))
-    for part in (inside.groupBy("path", "function").agg(fields.alias("fields")), trees.cyclomatic(inside, "path", "function"), trees.cognitive(inside, "path", "function"), _lines_within(functions, marks)):
+    for part in (inside.groupBy("path", "function").agg(fields.alias("fields")), trees.cyclomatic(inside, "path", "function"), trees.cognitive(inside, "path", "function")):
         rows = rows.join(part.hint("merge"), ["path", "function"], "left")
-    rows = rows.join(keyed.select("path", "named").hint("merge"), "path")
-    full = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat("owner", F.when(F.coalesce("instance", F.lit(False)), F.lit("#")).otherwise(F.lit("::")), "name"))
     some = [F.coalesce(c, F.lit(least).cast("bigint")).alias(c) for c, least in (("fields", 0), ("cyclomatic", 1), ("complexity", 0))]  # deeper than metrics look
-    return rows.select(F.lit("FUNCTION").alias("kind"), "name", full.alias("fully_qualified_name"), F.col("named").alias("path"), "start_line", *some, *_lines(F.col("end_line") - F.col("start_line") + 1, F.col("code"), F.col("comment")))
+    return rows.select(F.lit("FUNCTION").alias("kind"), "name", F.col("full").alias("fully_qualified_name"), F.col("named").alias("path"), "start_line", *some, *_lines(F.col("total"), F.col("code"), F.col("comment")))
 
 
 def stats_order(rows: DataFrame, *ties: str) -> DataFrame:
