@@ -167,6 +167,14 @@ def _full_name():
     return F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat("owner", F.when(F.coalesce(F.col("first") == "self", F.lit(False)), F.lit("#")).otherwise(F.lit("::")), "name"))
 
 
+def names(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+    """(kind, fully_qualified_name, path, start_line) of the rows of ``file_stats`` (without a line) and ``function_stats``; no metric is computed."""
+    rows = _table(files, excluded or [], metrics=False)
+    of_file = F.col("kind").isNull()
+    kind, full = F.when(of_file, F.lit("FILE")).otherwise(F.lit("FUNCTION")), F.when(of_file, F.col("named")).otherwise(_full_name())
+    return rows.select(kind.alias("kind"), full.alias("fully_qualified_name"), F.col("named").alias("path"), "start_line")
+
+
 def function_stats(files: DataFrame, excluded: list[str] | None = None) -> DataFrame:
     """(kind, name, fully_qualified_name, path, start_line, fields, cyclomatic, complexity, lines ...) of each function.
 

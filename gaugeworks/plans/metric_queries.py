@@ -99,9 +99,7 @@ def t09(t):
   SELECT *, row_number() OVER (ORDER BY kind, fully_qualified_name, path, start_line) AS position FROM s""")
 def o03(t):
     """Every row's place by kind and full name."""
-    files, functions = stats.file_stats(programs(t)), stats.function_stats(programs(t))
-    rows = files.select("kind", "fully_qualified_name", "path", F.lit(None).cast("int").alias("start_line")).unionByName(functions.select("kind", "fully_qualified_name", "path", "start_line"))
-    return issues.positions(stats.stats_order(rows, "start_line"))
+    return issues.positions(stats.stats_order(stored(stats.names(programs(t)), "stats-names"), "start_line"))
 
 
 SHAPES = [

@@ -59,10 +59,18 @@ def test_expressions_that_go_by_joins_exclude_the_same(spark):
     files = spark.createDataFrame([("a.py", code), ("a.py", "def test_a():\n    pass\n"), (None, MORE), ("b.py", "def ("), ("c.py", None), ("d.py", "")], "path string, contents string")
     dotted = [Q.TESTS[0].replace("^test_", "^test.")]
     assert P.split(dotted) == ([], [0])
-    for of in (stats.file_stats, stats.function_stats):
+    for of in (stats.file_stats, stats.function_stats, stats.names):
         assert plain(of(files, dotted).collect()) == plain(of(files, Q.TESTS).collect()) != plain(of(files).collect())
 
 
+def test_names_are_those_of_the_stats(spark):
+    files = spark.createDataFrame([("a.py", MORE), ("a.py", MORE), (None, CODE), ("b.py", "def ("), ("c.py", None), ("d.py", "")], "path string, contents string")
+    rows = stats.file_stats(files).selectExpr("kind", "fully_qualified_name", "path", "cast(null as int) AS start_line")
+    rows = rows.unionByName(stats.function_stats(files).select("kind", "fully_qualified_name", "path", "start_line"))
+    assert plain(stats.names(files).collect()) == plain(rows.collect())
+    assert "Exchange" not in stats.names(files)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics_of_kept_nodes_equal_those_of_all(spark):
     df, table, _ = rows_of(spark, [(str(k), text) for k, text in enumerate((MORE, CODE, Q.CLASS))])
     got = {r["path"]: r for r in stats.file_stats(df).collect()}
